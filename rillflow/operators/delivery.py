@@ -31,7 +31,8 @@ def backoff_seconds(
     prior: Column, retry_after: Column, base: float = BACKOFF_BASE, cap: float = BACKOFF_MAX
 ) -> Column:
     """Retry-After held within [0, cap], else base doubled per earlier attempt, capped."""
-    asked = F.least(F.greatest(retry_after.cast("double"), F.lit(0.0)), F.lit(cap))
+    held = F.least(F.greatest(retry_after.cast("double"), F.lit(0.0)), F.lit(cap))
+    asked = F.when(retry_after.isNotNull(), held)
     grown = F.least(F.lit(base) * F.pow(F.lit(2.0), F.least(prior, F.lit(60))), F.lit(cap))
     return F.coalesce(asked, grown)
 

@@ -17,7 +17,8 @@ BACKOFF_BASE = 5.0
 
 def rate_limit_delay(rate_limit: Column, now: Column) -> Column:
     """Seconds a rate limit asks for: Retry-After, else the time to reset when nothing remains."""
-    asked = F.greatest(rate_limit["retry_after"].cast("double"), F.lit(0.0))
+    wait = rate_limit["retry_after"].cast("double")
+    asked = F.when(wait.isNotNull(), F.greatest(wait, F.lit(0.0)))
     to_reset = F.greatest(
         (F.unix_micros(rate_limit["reset_at"]) - F.unix_micros(now)) / F.lit(1e6), F.lit(0.0)
     )

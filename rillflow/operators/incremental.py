@@ -236,7 +236,7 @@ def next_search_state(pages: DataFrame, depth: int = SEARCH_DEPTH) -> DataFrame:
     onward = (
         (F.col("page_items") > 0)
         & (F.col("page_items") == F.col("per_page"))
-        & (F.col("page") * F.col("per_page") < F.least("total_count", F.lit(depth)))
+        & (F.col("page") * F.col("per_page") < F.least(F.coalesce("total_count", "page_items"), F.lit(depth)))
     )
     return (
         pages.withColumn("has_more", rest | onward)
