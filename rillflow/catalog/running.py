@@ -132,7 +132,7 @@ def judged(spark, sf):
 
 
 def limits(spark, sf):
-    r = v.requests(spark, sf).withColumn("rl", rq.rate_limit(F.col("at")))
+    r = rq.add_rate_limit(v.requests(spark, sf)).withColumnRenamed("rate_limit", "rl")
     return r.select(
         "request_id", F.col("rl").isNotNull().alias("has_limit"),
         F.col("rl.limit").alias("limit_n"), F.col("rl.remaining").alias("remaining"),
@@ -141,7 +141,7 @@ def limits(spark, sf):
 
 
 def forum_limits(spark, sf):
-    r = v.requests(spark, sf).withColumn("rl", rq.forum_rate_limit(F.col("at")))
+    r = rq.add_rate_limit(v.requests(spark, sf), forum=True).withColumnRenamed("rate_limit", "rl")
     return r.select(
         "request_id", F.col("rl.limit").alias("limit_n"), F.col("rl.remaining").alias("remaining"),
         F.unix_timestamp("rl.reset_at").alias("reset_epoch"), F.col("rl.retry_after").alias("retry_after"),

@@ -66,7 +66,9 @@ def _mutation_changes(spark, sf) -> DataFrame:
 
 
 def _doc_changes(spark, sf) -> DataFrame:
-    return ch.classify_changes(v.doc_signals(spark, sf), v.stored_docs(spark, sf))
+    return ch.classify_changes(
+        v.doc_signals(spark, sf), v.stored_docs(spark, sf), carry=("source", "collected_at")
+    )
 
 
 def classify_mutations(spark, sf):
@@ -90,11 +92,11 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def upsert_documents(spark, sf):
-    return _columns(ch.apply_changes(v.stored_docs(spark, sf), _doc_changes(spark, sf)))
+    return _columns(ch.apply_changes(v.stored_docs(spark, sf), v.doc_signals(spark, sf), _doc_changes(spark, sf)))
 
 
 def upsert_mutations(spark, sf):
-    return _columns(ch.apply_changes(v.no_signals(spark), _mutation_changes(spark, sf)))
+    return _columns(ch.apply_changes(v.no_signals(spark), v.mutations(spark, sf), _mutation_changes(spark, sf)))
 
 
 def lookups(spark, sf):

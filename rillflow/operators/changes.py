@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,27 +20,28 @@ def stored_hashes(current: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def classify_changes(
-    batch: DataFrame, current: DataFrame, seq: str = "seq", chunk: int = CHUNK
+    batch: DataFrame,
+    current: DataFrame,
+    seq: str = "seq",
+    carry: Sequence[str] = ("collected_at",),
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """Add ``change`` to each batch row, in order of the integer ``seq``, which is unique per id.
+    """``change`` of each batch row, in order of the integer ``seq``, which is unique per id.
 
     A row is compared with the row before it, the first of an id with the stored one. An id with a
-    large part of the batch is cut by ``seq``, so it never forms a single task.
+    large part of the batch is cut by ``seq``, so it never forms a single task. Only ``id``, ``seq``,
+    the hash and the ``carry`` columns are shuffled and returned; contents stay where they are.
     """
-    known = stored_hashes(current, batch).select("id", F.col("event_hash").alias("_stored"))
-    seen = previous_value(batch, ["id"], seq, "event_hash", "_prev", chunk)
-    joined = seen.join(known, "id", "left")
-    before = F.when(F.col("_prev_first"), F.col("_stored")).otherwise(F.col("_prev"))
-    return (
-        joined.withColumn("_before", before)
-        .withColumn(
-            "change",
-            F.when(F.col("_before").isNull(), "inserted")
-            .when(F.col("_before") == F.col("event_hash"), "unchanged")
-            .otherwise("updated"),
-        )
-        .drop("_stored", "_prev", "_prev_first", "_before")
+    narrow = batch.select("id", seq, "event_hash", *[c for c in carry if c not in ("id", seq, "event_hash")])
+    seen = previous_value(
+        narrow, ["id"], seq, "event_hash", "_before", stored_hashes(current, batch), chunk
     )
+    return seen.withColumn(
+        "change",
+        F.when(F.col("_before").isNull(), "inserted")
+        .when(F.col("_before") == F.col("event_hash"), "unchanged")
+        .otherwise("updated"),
+    ).drop("_before")
 
 
 def write_counts(changes: DataFrame, *keys: str) -> DataFrame:
@@ -51,22 +54,21 @@ def write_counts(changes: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def last_versions(changes: DataFrame, seq: str = "seq") -> DataFrame:
-    """The row an id ends up with: the last that was no repeat of its predecessor.
+def last_versions(batch: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
+    """The full row each changed id ends up with: the last that was no repeat of its predecessor.
 
-    ``max_by`` combines before the shuffle, so an id with many versions sends one row per task.
+    The winning ``seq`` per id is a hash aggregate over two columns; full rows move once, to meet it.
     """
-    row = F.struct(*SIGNAL_COLUMNS)
-    return (
-        changes.filter(F.col("change") != "unchanged")
-        .groupBy(F.col("id").alias("_id"))
-        .agg(F.max_by(row, F.col(seq)).alias("r"))
-        .select("r.*")
+    winners = (
+        changes.filter(F.col("change") != "unchanged").groupBy("id").agg(F.max(seq).alias(seq))
     )
+    return batch.join(winners, ["id", seq], "left_semi").select(*SIGNAL_COLUMNS)
 
 
-def apply_changes(current: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
+def apply_changes(
+    current: DataFrame, batch: DataFrame, changes: DataFrame, seq: str = "seq"
+) -> DataFrame:
     """The stored table after the batch. Unchanged ids keep their row with its old ``collected_at``."""
-    latest = last_versions(changes, seq)
-    kept = current.select(*SIGNAL_COLUMNS).join(latest.select("id"), "id", "left_anti")
-    return kept.select(*SIGNAL_COLUMNS).unionByName(latest)
+    touched = changes.filter(F.col("change") != "unchanged").select("id").distinct()
+    kept = current.select(*SIGNAL_COLUMNS).join(touched, "id", "left_anti")
+    return kept.select(*SIGNAL_COLUMNS).unionByName(last_versions(batch, changes, seq))

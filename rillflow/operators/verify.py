@@ -36,42 +36,41 @@ def layout_status(schemas: Mapping[str, T.StructType], version: int) -> tuple[st
     return "current", None
 
 
-def _row(df: DataFrame, check: str, bad) -> DataFrame:
-    return df.agg(F.coalesce(bad, F.lit(0)).cast("bigint").alias("bad")).select(
-        F.lit(check).alias("check"), "bad"
+def _counted(name: str, df: DataFrame) -> DataFrame:
+    """Bad rows per check of one table.
+
+    The table is read once and grouped by its key; rows of a key are combined per task first, so a
+    repeated key costs no more than any other.
+    """
+    rules = [(f"{name}.{c} not null", F.col(c).isNull()) for c in REQUIRED[name]]
+    rules += [
+        (f"{name}.{c} known value", ~F.coalesce(F.col(c).isin(*values), F.lit(False)))
+        for (t, c), values in _ENUMS.items() if t == name
+    ]
+    per_key = df.groupBy(*PRIMARY_KEYS[name]).agg(
+        F.count("*").alias("n"), *[F.count_if(bad).alias(f"c{i}") for i, (_, bad) in enumerate(rules)]
+    )
+    totals = per_key.agg(
+        F.count_if(F.col("n") > 1).alias("repeated"),
+        *[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(rules))],
     )
+    checks = [(f"{name} primary key unique", F.col("repeated"))]
+    checks += [(check, F.col(f"c{i}")) for i, (check, _) in enumerate(rules)]
+    return totals.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(c).alias("check"), n.alias("bad")) for c, n in checks])
+        ).alias("r")
+    ).select("r.*")
 
 
 def integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per check with the number of bad rows and pass or fail.
-
-    Nulls and enum values of a table are counted in one pass; duplicate keys take one shuffle of the
-    key columns, combined per task first.
-    """
-    parts = []
-    for name, df in tables.items():
-        counts = [(f"{name}.{c} not null", F.count_if(F.col(c).isNull())) for c in REQUIRED[name]]
-        counts += [
-            (f"{name}.{c} known value", F.count_if(~F.coalesce(F.col(c).isin(*values), F.lit(False))))
-            for (t, c), values in _ENUMS.items() if t == name
-        ]
-        once = df.agg(*[bad.alias(f"c{i}") for i, (_, bad) in enumerate(counts)])
-        parts.append(
-            once.select(
-                F.explode(
-                    F.array(*[
-                        F.struct(F.lit(check).alias("check"), F.col(f"c{i}").alias("bad"))
-                        for i, (check, _) in enumerate(counts)
-                    ])
-                ).alias("r")
-            ).select("r.*")
-        )
-        keys = PRIMARY_KEYS[name]
-        repeated = df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
-        parts.append(_row(repeated, f"{name} primary key unique", F.count("*")))
+    """One row per check with the number of bad rows and pass, warn or fail."""
+    parts = [_counted(name, df) for name, df in tables.items()]
     if "deliveries" in tables and "signals" in tables:
         lost = orphans(tables["deliveries"], tables["signals"])
-        parts.append(_row(lost, "deliveries have their event", F.count("*")))
+        parts.append(
+            lost.agg(F.count("*").alias("bad")).select(F.lit("deliveries have their event").alias("check"), "bad")
+        )
     merged = reduce(DataFrame.unionByName, parts)
     # A lost event is repaired by the next delivery pass, so it only warns.
     soft = F.col("check") == "deliveries have their event"

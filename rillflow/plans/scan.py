@@ -26,34 +26,37 @@ def previous_value(
     order: str,
     value: str,
     out: str,
+    before: DataFrame | None = None,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Add ``out``: ``value`` of the row before, per key in ``order``; null on a key's first row.
+    """Add ``out``: ``value`` of the row before, per key in ``order``.
 
-    ``out_first`` tells the first row of a key from a row whose predecessor holds a null.
+    The first row of a key takes the value ``before`` (columns ``keys`` and ``value``) holds for it,
+    else null. Values are never null and ``order`` is not negative. Every column of ``df`` is
+    shuffled, so callers pass narrow rows.
     """
+    names = df.columns
     inner = Window.partitionBy(*keys, "_interval").orderBy(order)
     marked = (
         df.withColumn("_interval", interval(order, chunk))
-        .withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(inner))
+        .withColumn(out, F.lag(value).over(inner))
         .withColumn("_is_last", F.lead(F.lit(True)).over(inner).isNull())
     )
-    inside = marked.filter(F.col("_before").isNotNull())
-    # First rows of an interval, and the last row of every interval as their predecessor.
+    inside = marked.filter(F.col(out).isNotNull()).select(*names, out)
+    # First rows of an interval, the last row of every interval and what came before the key.
+    ends = marked.filter(F.col(out).isNull() | F.col("_is_last")).withColumn(
+        "_is_first", F.col(out).isNull()
+    ).select(*names, "_is_first")
+    if before is not None:
+        rest = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names if c not in (*keys, order, value)]
+        start = before.select(
+            *keys, F.col(value), F.lit(-1).cast(df.schema[order].dataType).alias(order), *rest,
+            F.lit(False).alias("_is_first"),
+        )
+        ends = ends.unionByName(start)
     outer = Window.partitionBy(*keys).orderBy(order)
-    edges = (
-        marked.filter(F.col("_before").isNull() | F.col("_is_last"))
-        .withColumn("_is_first", F.col("_before").isNull())
-        .withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(outer))
-        .filter("_is_first")
-        .drop("_is_first")
-    )
-    return (
-        inside.unionByName(edges)
-        .withColumn(out, F.col("_before.v"))
-        .withColumn(f"{out}_first", F.col("_before").isNull())
-        .drop("_interval", "_before", "_is_last")
-    )
+    firsts = ends.withColumn(out, F.lag(value).over(outer)).filter("_is_first").drop("_is_first")
+    return inside.unionByName(firsts)
 
 
 def trailing_count(
