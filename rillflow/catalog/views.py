@@ -180,18 +180,14 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order of a flag is queued at first; a line with a 0.05 discount queues it again."""
-    sent = attempts(spark, sf_dir)
-    first = sent.select("sink_key", "event_id").distinct().select(
-        "sink_key", "event_id", F.lit("v1").alias("event_hash"),
-        F.lit(0).cast("bigint").alias("seq"), ts("1995-01-01 00:00:00").alias("at"),
-    )
-    again = table(spark, sf_dir, "lineitem").filter(F.col("l_discount") == 0.05).select(
+    again = F.col("l_discount") == 0.05
+    return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("sink-"), "l_returnflag").alias("sink_key"),
         F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("event_id"),
-        F.lit("v1").alias("event_hash"), attempt_seq().alias("seq"),
-        F.col("l_shipdate").cast("timestamp").alias("at"),
+        F.lit("v1").alias("event_hash"),
+        F.when(again, attempt_seq()).otherwise(0).alias("seq"),
+        F.when(again, F.col("l_shipdate").cast("timestamp")).otherwise(ts("1995-01-01 00:00:00")).alias("at"),
     )
-    return first.unionByName(again)
 
 
 def _sink_of_priority() -> Column:

@@ -10,7 +10,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends (``trim`` only knows the space)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def optional_text(c: Column) -> Column:

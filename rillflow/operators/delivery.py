@@ -123,26 +123,40 @@ def fold_deliveries(
 
     ``queued(sink_key, event_id, event_hash, seq, at)`` holds every (re)queueing, ``attempts`` every
     send with its ``outcome``. Only attempts after the last queueing count; a success for an older
-    hash counts for nothing. Both steps are aggregates that combine before the shuffle; the join
-    has one row per delivery on its queue side, so adaptive execution can split a hot delivery.
+    hash counts for nothing. The queue side of the join has one row per delivery, so adaptive execution
+    can split a delivery with very many attempts.
     """
     keys = ["sink_key", "event_id"]
-    last = queued.groupBy(*keys).agg(
-        F.max("seq").alias("_seq"),
-        F.max_by("event_hash", "seq").alias("_hash"),
-        F.max_by("at", "seq").alias("_at"),
+    last = (
+        queued.groupBy(*keys)
+        .agg(F.max(F.struct("seq", "event_hash", "at")).alias("q"))
+        .select(*keys, F.col("q.seq").alias("_seq"), F.col("q.event_hash").alias("_hash"), F.col("q.at").alias("_at"))
     )
-    live = attempts.join(last.select(*keys, "_seq", "_hash"), keys).filter(
-        (F.col("seq") > F.col("_seq"))
-        & ((F.col("outcome") != "success") | F.col("sent_hash").eqNullSafe(F.col("_hash")))
+    tried = attempts.select(
+        *keys, F.col("seq").alias("_try"), "outcome", "sent_hash", "retry_after", "error", "attempted_at"
+    )
+    counts = (F.col("_try") > F.col("_seq")) & (
+        (F.col("outcome") != "success") | F.col("sent_hash").eqNullSafe(F.col("_hash"))
     )
-    folded = live.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.max_by(F.struct("outcome", "retry_after", "error", "attempted_at"), "seq").alias("t"),
-        F.max_by("attempted_at", F.when(F.col("outcome") == "success", F.col("seq"))).alias("ok_at"),
+    same = [last[k] == tried[k] for k in keys]
+    folded = (
+        last.join(tried, [*same, counts], "left")
+        .groupBy(*[last[k] for k in keys])
+        .agg(
+            F.max("_at").alias("queued_at"),
+            F.count("_try").cast("int").alias("n"),
+            F.max(
+                F.when(
+                    F.col("_try").isNotNull(),
+                    F.struct("_try", "attempted_at", "outcome", "retry_after", "error"),
+                )
+            ).alias("t"),
+            F.max(
+                F.when(F.col("outcome") == "success", F.struct("_try", "attempted_at"))
+            ).alias("ok"),
+        )
     )
-    n = F.coalesce(F.col("n"), F.lit(0)).cast("int")
-    outcome = F.col("t.outcome")
+    n, outcome = F.col("n"), F.col("t.outcome")
     status = (
         F.when(outcome.isNull(), "pending")
         .when(outcome == "success", "delivered")
@@ -152,17 +166,13 @@ def fold_deliveries(
     due = plus_seconds(
         F.col("t.attempted_at"), backoff_seconds(n - 1, F.col("t.retry_after"), base, cap)
     )
-    return (
-        last.join(folded, keys, "left")
-        .withColumn("status", status)
-        .select(
-            *keys, "status",
-            n.alias("attempts"),
-            F.when(F.col("status") == "failed", due).alias("next_attempt_at"),
-            F.when(F.col("status").isin("failed", "dead"), F.col("t.error")).alias("last_error"),
-            F.col("ok_at").alias("delivered_at"),
-            F.coalesce("t.attempted_at", "_at").alias("updated_at"),
-        )
+    return folded.withColumn("status", status).select(
+        *keys, "status",
+        n.alias("attempts"),
+        F.when(F.col("status") == "failed", due).alias("next_attempt_at"),
+        F.when(F.col("status").isin("failed", "dead"), F.col("t.error")).alias("last_error"),
+        F.col("ok.attempted_at").alias("delivered_at"),
+        F.coalesce("t.attempted_at", "queued_at").alias("updated_at"),
     )
 
 
