@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.schemas import COMMITS, EVENT_SCHEMA_VERSION, LAYOUT_VERSION, PRIMARY_KEYS, TABLES
+from rillflow.schemas import (
+    COMMITS, EVENT_SCHEMA_VERSION, LAYOUT_VERSION, PRIMARY_KEYS, TABLES, columns,
+)
 
-_BATCH = T.StructType.fromDDL("stream_id string, batch_id bigint")
+_BATCH = columns("stream_id string, batch_id bigint")
 # Core columns without which an old table cannot be upgraded.
 LEGACY_CORE = ("id", "source", "kind", "content", "url", "created_at", "collected_at", "metadata_json")
 
@@ -51,100 +53,101 @@ def check_version(version: int) -> None:
 
 
 class Store:
-    """A folder of tables. ``orders`` of a frame say which of two rows of a key is the later one."""
+    """A folder of tables with one committer and any number of readers.
+
+    Every commit gets the next ``version``; of two rows of a key the one with the higher version wins,
+    then the one with the higher ``order`` columns.
+    """
 
     def __init__(self, spark: SparkSession, root: str, version: int = LAYOUT_VERSION) -> None:
         check_version(version)
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _dir(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def commit(self, stream_id: str, batch_id: int, frames: Mapping[str, DataFrame]) -> None:
-        """Write the frames of one batch, then its commit row."""
-        for table, frame in frames.items():
-            frame.write.mode("overwrite").parquet(
-                f"{self._dir(table)}/stream_id={stream_id}/batch_id={batch_id}"
-            )
+    def path(self, table: str, stream_id: str | None = None, batch_id: int | None = None) -> str:
+        if stream_id is None:
+            return f"{self.root}/{table}"
+        return f"{self.root}/{table}/stream_id={stream_id}/batch_id={batch_id}"
+
+    def write(self, table: str, stream_id: str, batch_id: int, frame: DataFrame) -> None:
+        """Write one table of a batch; a replay replaces what an earlier try left, even when empty."""
+        frame.write.mode("overwrite").parquet(self.path(table, stream_id, batch_id))
+
+    def read_batch(self, table: str, schema: T.StructType, stream_id: str, batch_id: int) -> DataFrame:
+        """What :meth:`write` stored, committed or not: the rest of a batch is derived from it."""
+        return self.spark.read.schema(schema).parquet(self.path(table, stream_id, batch_id))
+
+    def commit(self, stream_id: str, batch_id: int, frames: Mapping[str, DataFrame] | None = None) -> int:
+        """Write the frames, if any, then make the whole batch visible; returns its version."""
+        for table, frame in (frames or {}).items():
+            self.write(table, stream_id, batch_id, frame)
+        done = self.commits().filter(
+            (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)
+        ).head(1)
+        if done:
+            return done[0]["version"]
+        version = self.commits().agg(F.coalesce(F.max("version"), F.lit(0)) + 1).head()[0]
         row = self.spark.range(1).select(
             F.lit(stream_id).alias("stream_id"), F.lit(batch_id).cast("bigint").alias("batch_id"),
-            F.lit(None).cast("string").alias("source_key"), F.current_timestamp().alias("committed_at"),
-        )
-        row.coalesce(1).write.mode("overwrite").parquet(
-            f"{self._dir('commits')}/commit={stream_id}-{batch_id}"
+            F.lit(version).cast("bigint").alias("version"), F.current_timestamp().alias("committed_at"),
         )
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path('commits')}/commit={stream_id}-{batch_id}")
+        return version
 
     def commits(self) -> DataFrame:
-        if not path_exists(self.spark, self._dir("commits")):
+        if not path_exists(self.spark, self.path("commits")):
             return self.spark.createDataFrame([], COMMITS)
-        return self.spark.read.schema(COMMITS).parquet(f"{self._dir('commits')}/*")
+        return self.spark.read.schema(COMMITS).parquet(f"{self.path('commits')}/*")
 
     def is_committed(self, stream_id: str, batch_id: int) -> bool:
-        return path_exists(self.spark, f"{self._dir('commits')}/commit={stream_id}-{batch_id}")
+        return path_exists(self.spark, f"{self.path('commits')}/commit={stream_id}-{batch_id}")
 
-    def log(self, table: str, schema: T.StructType) -> DataFrame:
-        """Committed rows of a table with their ``stream_id`` and ``batch_id``."""
+    def log(self, table: str, schema: T.StructType, after: int = 0) -> DataFrame:
+        """Committed rows of a table with their ``version``, those after a version only.
+
+        The commits are one small row per batch; joined on the folder columns they prune the scan.
+        """
+        if not path_exists(self.spark, self.path(table)):
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("version", T.LongType())]))
         full = T.StructType([*schema.fields, *_BATCH.fields])
-        if not path_exists(self.spark, self._dir(table)):
-            return self.spark.createDataFrame([], full)
-        rows = self.spark.read.schema(full).parquet(self._dir(table))
-        done = self.commits().select("stream_id", "batch_id")
-        return rows.join(done, ["stream_id", "batch_id"], "left_semi").select(*full.fieldNames())
-
-    def _base_mark(self, table: str) -> tuple[str, dict[str, int]] | None:
-        """The newest base of a table: its folder, and the last batch it holds per stream."""
-        marks = f"{self._dir('bases')}/{table}"
+        rows = self.spark.read.schema(full).parquet(self.path(table))
+        done = self.commits().filter(F.col("version") > after).select("stream_id", "batch_id", "version")
+        return rows.join(done, ["stream_id", "batch_id"]).select(*schema.fieldNames(), "version")
+
+    def _base(self, table: str) -> tuple[str, int] | None:
+        """The newest base of a table: its folder and the version it reaches."""
+        marks = f"{self.path('bases')}/{table}"
         if not path_exists(self.spark, marks):
             return None
-        newest = (
-            self.spark.read.parquet(f"{marks}/*")
-            .orderBy(F.desc("made_at")).select("path", "upto").head(1)
-        )
-        return (newest[0]["path"], dict(newest[0]["upto"])) if newest else None
-
-    def _after_base(self, rows: DataFrame, upto: Mapping[str, int]) -> DataFrame:
-        held = F.lit(False)
-        for stream, batch in upto.items():
-            held = held | ((F.col("stream_id") == stream) & (F.col("batch_id") <= batch))
-        return rows.filter(~held)
+        newest = self.spark.read.parquet(f"{marks}/*").orderBy(F.desc("version")).head(1)
+        return (newest[0]["path"], newest[0]["version"]) if newest else None
 
     def current(self, table: str, order: Sequence[str] = ()) -> DataFrame:
-        """The last committed row per primary key; later batches win, then the ``order`` columns."""
+        """The last committed row per primary key, from the newest base and the commits after it."""
         schema, keys = TABLES[table], PRIMARY_KEYS[table]
-        extra = [T.StructField(c, T.LongType()) for c in order]
-        log_schema = T.StructType([*schema.fields, *extra])
-        rows = self.log(table, log_schema)
-        rank = F.struct("batch_id", "stream_id", *order)
-        base = self._base_mark(table)
         names = schema.fieldNames()
+        logged = T.StructType([*schema.fields, *[T.StructField(c, T.LongType()) for c in order]])
+        base = self._base(table)
+        rows = self.log(table, logged, base[1] if base else 0)
         if base is not None:
-            path, upto = base
-            old = self.spark.read.schema(schema).parquet(path).select(
-                *names, F.lit(-1).cast("bigint").alias("batch_id"), F.lit("").alias("stream_id"),
-                *[F.lit(-1).cast("bigint").alias(c) for c in order],
+            old = self.spark.read.schema(schema).parquet(base[0]).withColumns(
+                {c: F.lit(-1).cast("bigint") for c in ("version", *order)}
             )
-            rows = self._after_base(rows, upto).select(*names, "batch_id", "stream_id", *order).unionByName(old)
+            rows = rows.unionByName(old)
         return (
             rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys])
-            .agg(F.max_by(F.struct(*names), rank).alias("r"))
+            .agg(F.max_by(F.struct(*names), F.struct("version", *order)).alias("r"))
             .select("r.*")
         )
 
-    def compact(self, table: str, order: Sequence[str] = ()) -> str:
-        """Write the current state as a new base; returns its folder. Readers switch with the mark."""
-        upto = {
-            r["stream_id"]: r["batch_id"]
-            for r in self.commits().groupBy("stream_id").agg(F.max("batch_id").alias("batch_id")).collect()
-        }
-        stamp = "-".join(f"{s}{b}" for s, b in sorted(upto.items())) or "empty"
-        path = f"{self._dir('base')}/{table}/{stamp}"
+    def compact(self, table: str, order: Sequence[str] = ()) -> int:
+        """Write the current state as a new base; readers switch once its mark is there."""
+        version = self.commits().agg(F.coalesce(F.max("version"), F.lit(0))).head()[0]
+        path = f"{self.path('base')}/{table}/version={version}"
         self.current(table, order).write.mode("overwrite").parquet(path)
-        pairs = [x for kv in sorted(upto.items()) for x in (F.lit(kv[0]), F.lit(kv[1]).cast("bigint"))]
-        held = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,bigint>")
         self.spark.range(1).select(
-            F.lit(path).alias("path"), held.alias("upto"), F.current_timestamp().alias("made_at")
-        ).coalesce(1).write.mode("overwrite").parquet(f"{self._dir('bases')}/{table}/{stamp}")
-        return path
+            F.lit(path).alias("path"), F.lit(version).cast("bigint").alias("version")
+        ).coalesce(1).write.mode("overwrite").parquet(f"{self.path('bases')}/{table}/mark={version}")
+        return version
 
 
 def table_digest(df: DataFrame) -> DataFrame:

@@ -13,46 +13,59 @@ KINDS = ("article", "comment", "issue", "post", "pull_request", "story", "other"
 DELIVERY_STATUSES = ("pending", "failed", "dead", "delivered")
 HEALTH_STATUSES = ("healthy", "degraded", "circuit_open")
 
-SIGNALS = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
+    "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+}
+
+
+def columns(text: str, **nested: T.DataType) -> T.StructType:
+    """``"name type, name type"`` as a schema; it needs no session. ``nested`` adds other types."""
+    pairs = (part.split() for part in text.split(","))
+    return T.StructType([T.StructField(n, nested.get(n) or _TYPES[t]) for n, t in pairs])
+
+
+SIGNALS = columns(
     "id string, schema_version int, source string, source_instance string, kind string, "
     "title string, content string, author string, url string, created_at timestamp, "
     "updated_at timestamp, collected_at timestamp, metadata_json string, event_hash string"
 )
-CHECKPOINTS = T.StructType.fromDDL(
+CHECKPOINTS = columns(
     "source_key string, cursor_json string, updated_at timestamp, last_success_at timestamp, "
     "last_error string"
 )
-SOURCE_HEALTH = T.StructType.fromDDL(
+SOURCE_HEALTH = columns(
     "source_key string, status string, updated_at timestamp, last_attempt_at timestamp, "
     "last_success_at timestamp, last_error string, consecutive_failures int, "
     "total_runs bigint, total_events bigint"
 )
-DELIVERY_SINKS = T.StructType.fromDDL(
+DELIVERY_SINKS = columns(
     "sink_key string, enabled boolean, created_at timestamp, updated_at timestamp"
 )
-DELIVERIES = T.StructType.fromDDL(
+DELIVERIES = columns(
     "sink_key string, event_id string, status string, attempts int, next_attempt_at timestamp, "
     "last_error string, delivered_at timestamp, updated_at timestamp"
 )
-RAW_PAYLOADS = T.StructType.fromDDL(
+RAW_PAYLOADS = columns(
     "payload_id bigint, batch_id bigint, source_type string, source string, "
-    "source_instance string, url string, http_status int, headers map<string,string>, "
-    "body string, fetched_at timestamp, page_no int"
+    "source_instance string, url string, http_status int, headers map, body string, "
+    "fetched_at timestamp, page_no int",
+    headers=T.MapType(T.StringType(), T.StringType()),
 )
-RATE_LIMIT = T.StructType.fromDDL(
+RATE_LIMIT = columns(
     "limit bigint, remaining bigint, reset_at timestamp, retry_after double"
 )
-RUN_LOG = T.StructType.fromDDL(
+RUN_LOG = columns(
     "run_id bigint, source_key string, attempted_at timestamp, finished_at timestamp, "
-    "success boolean, error_kind string, error string, event_count bigint, "
-    "rate_limit struct<limit bigint, remaining bigint, reset_at timestamp, retry_after double>"
+    "success boolean, error_kind string, error string, event_count bigint, rate_limit struct",
+    rate_limit=RATE_LIMIT,
 )
-DELIVERY_ATTEMPTS = T.StructType.fromDDL(
+DELIVERY_ATTEMPTS = columns(
     "seq bigint, sink_key string, event_id string, sent_hash string, attempted_at timestamp, "
     "outcome string, retry_after double, error string"
 )
-COMMITS = T.StructType.fromDDL(
-    "stream_id string, batch_id bigint, source_key string, committed_at timestamp"
+COMMITS = columns(
+    "stream_id string, batch_id bigint, version bigint, committed_at timestamp"
 )
 
 TABLES: dict[str, T.StructType] = {
