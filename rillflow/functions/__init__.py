@@ -12,7 +12,7 @@ from rillflow.functions.identity import (
     source_key,
     stable_id,
 )
-from rillflow.functions.jsonpath import json_path, json_text, to_text, variant_kind
+from rillflow.functions.jsonpath import is_object, json_path, json_text, to_text, variant_kind
 from rillflow.functions.markup import html_to_text
 from rillflow.functions.text import (
     age_text,
@@ -31,7 +31,7 @@ from rillflow.functions.times import feed_time, parse_epoch, parse_iso, parse_ma
 __all__ = [
     "age_text", "ascii_lower", "canonical_text", "collapse", "cursor_json", "event_json",
     "feed_time", "fingerprint", "forum_url", "html_to_text", "idempotency_key", "initials",
-    "iso_utc", "join_authors", "json_path", "json_text", "optional_text", "parse_cursor",
+    "is_object", "iso_utc", "join_authors", "json_path", "json_text", "optional_text", "parse_cursor",
     "parse_epoch", "parse_iso", "parse_mail_date", "prom_escape", "query_instance", "source_key",
     "stable_id", "strip", "to_text", "to_utc", "truncate", "variant_kind",
 ]

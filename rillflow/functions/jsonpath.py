@@ -20,6 +20,11 @@ def variant_kind(v: Column) -> Column:
     )
 
 
+def is_object(v: Column) -> Column:
+    """Whether a VARIANT holds a JSON object; missing values do not."""
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
 def _step(v: Column, key: str) -> Column:
     quote = '"' if "'" in key else "'"
     return F.try_variant_get(v, f"$[{quote}{key}{quote}]", "variant")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions import ascii_lower, collapse, iso_utc, source_key, variant_kind
+from rillflow.functions import ascii_lower, collapse, iso_utc, source_key, is_object
 from rillflow.functions.text import strip
 
 # Page bounds and the length of a content preview.
@@ -110,7 +110,7 @@ def event_detail(signals: DataFrame, ids: DataFrame) -> DataFrame:
     v = F.try_parse_json(raw)
     wrapped = (
         F.when(v.isNull(), '{"_error":"stored metadata is not valid JSON"}')
-        .when(variant_kind(v) == "object", F.to_json(v))
+        .when(is_object(v), F.to_json(v))
         .otherwise(F.concat(F.lit('{"value":'), F.to_json(v), F.lit("}")))
     )
     rows = signals.join(ids.select("id").distinct(), "id", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -51,14 +51,24 @@ def default_sources() -> Registry:
     return registry
 
 
-def normalize_payloads(payloads: DataFrame, registry: Registry) -> tuple[DataFrame, DataFrame]:
+def present_types(payloads: DataFrame, registry: Registry) -> list[str]:
+    """Registered types that occur in a batch; at most as many rows as there are adapters."""
+    kind = F.lower(F.trim("source_type"))
+    rows = payloads.select(kind.alias("t")).filter(F.col("t").isin(*registry.types)).distinct()
+    return sorted(r["t"] for r in rows.collect())
+
+
+def normalize_payloads(
+    payloads: DataFrame, registry: Registry, types: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Run each registered adapter on its own payload rows and stack the results.
 
-    The type filter reaches the scan, so an adapter reads its own rows only. Rows of an unknown type
-    become errors.
+    The type filter reaches the scan, so an adapter reads its own rows only. ``types`` narrows the
+    plan to the types known to occur. Rows of an unknown type become errors.
     """
     kind = F.lower(F.trim("source_type"))
-    outputs = [registry.get(t)(payloads.filter(kind == t)) for t in registry.types]
+    used = [t for t in registry.types if types is None or t in types] or list(registry.types)[:1]
+    outputs = [registry.get(t)(payloads.filter(kind == t)) for t in used]
     known = F.coalesce(kind.isin(*registry.types), F.lit(False))
     unknown = problem(
         payloads.filter(~known), "error",

@@ -32,7 +32,7 @@ def land(spark, path, payload_id, body, status=200, source_type="jsonfeed"):
 
 
 def run(ingest, spark, landing, checkpoint):
-    q = ingest.start(stream_payloads(spark, landing, max_files=1), checkpoint)
+    q = ingest.start(stream_payloads(spark, landing), checkpoint)
     q.awaitTermination(240)
 
 
@@ -94,9 +94,9 @@ def test_ingest_and_delivery(spark, tmp_path):
 
 
 def test_batch_boundaries_do_not_matter(spark, tmp_path):
-    bodies = [feed([item(i % 3, f"v{i // 2}"), item(9, "same")]) for i in range(6)]
+    bodies = [feed([item(i % 3, f"v{i // 2}"), item(9, "same")]) for i in range(4)]
     ends = []
-    for name, files in (("a", 1), ("b", 6)):
+    for name, files in (("a", 2), ("b", 4)):
         landing, store = str(tmp_path / name), Store(spark, str(tmp_path / f"store-{name}"))
         for i, body in enumerate(bodies):
             land(spark, landing, i, body)
