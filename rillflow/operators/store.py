@@ -121,22 +121,35 @@ class Store:
         newest = self.spark.read.parquet(f"{marks}/*").orderBy(F.desc("version")).head(1)
         return (newest[0]["path"], newest[0]["version"]) if newest else None
 
-    def current(self, table: str, order: Sequence[str] = ()) -> DataFrame:
-        """The last committed row per primary key, from the newest base and the commits after it."""
+    def current(
+        self,
+        table: str,
+        order: Sequence[str] = (),
+        names: Sequence[str] | None = None,
+        only: DataFrame | None = None,
+    ) -> DataFrame:
+        """The last committed row per primary key, from the newest base and the commits after it.
+
+        ``names`` limits the columns that are read, ``only`` the keys: a small frame of keys filters
+        both scans before anything is shuffled. Filters on key columns reach the scans by themselves.
+        """
         schema, keys = TABLES[table], PRIMARY_KEYS[table]
-        names = schema.fieldNames()
-        logged = T.StructType([*schema.fields, *[T.StructField(c, T.LongType()) for c in order]])
+        wanted = [f for f in schema.fields if names is None or f.name in names or f.name in keys]
+        logged = T.StructType([*wanted, *[T.StructField(c, T.LongType()) for c in order]])
         base = self._base(table)
         rows = self.log(table, logged, base[1] if base else 0)
         if base is not None:
-            old = self.spark.read.schema(schema).parquet(base[0]).withColumns(
+            old = self.spark.read.schema(T.StructType(wanted)).parquet(base[0]).withColumns(
                 {c: F.lit(-1).cast("bigint") for c in ("version", *order)}
             )
             rows = rows.unionByName(old)
+        if only is not None:
+            rows = rows.join(only.select(*keys).distinct(), list(keys), "left_semi")
+        rest = [f.name for f in wanted if f.name not in keys]
         return (
-            rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys])
-            .agg(F.max_by(F.struct(*names), F.struct("version", *order)).alias("r"))
-            .select("r.*")
+            rows.groupBy(*keys)
+            .agg(F.max_by(F.struct(*rest), F.struct("version", *order)).alias("r"))
+            .select(*[f"r.{f.name}" if f.name in rest else f.name for f in wanted])
         )
 
     def compact(self, table: str, order: Sequence[str] = ()) -> int:

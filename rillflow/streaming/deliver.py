@@ -43,13 +43,16 @@ class Delivery:
         store, sid = self.store, self.stream_id
         at = F.current_timestamp() if now is None else now
         mine = store.current("deliveries").filter(F.col("sink_key") == self.sink)
-        signals = store.current("signals", ["seq"])
-        due = delivery.match_events(delivery.ready(mine, at, self.limit), signals).select(
+        rows = delivery.ready(mine, at, self.limit)
+        asked = rows.select(F.col("event_id").alias("id"))
+        hashes = store.current("signals", ["seq"], names=["event_hash"], only=asked)
+        due = delivery.match_events(rows, hashes).select(
             "sink_key", "event_id", F.col("attempts").alias("prior_attempts"), "event_hash"
         )
         store.write("ready", sid, pass_id, due)
         due = store.read_batch("ready", _READY, sid, pass_id)
-        events = signals.join(due.select(F.col("event_id").alias("id"), "event_hash"), ["id", "event_hash"], "left_semi")
+        chosen = due.select(F.col("event_id").alias("id"), "event_hash")
+        events = store.current("signals", ["seq"], only=chosen).join(chosen, ["id", "event_hash"], "left_semi")
         answers = sinks.send_requests(sinks.webhook_requests(events, self.sink, self.token), self.url, self.send)
         store.write("responses", sid, pass_id, answers)
         sent = sinks.classify_responses(store.read_batch("responses", _SENT, sid, pass_id))
@@ -58,10 +61,9 @@ class Delivery:
             F.coalesce("sent_hash", "event_hash").alias("sent_hash"), "prior_attempts",
             "retry_after", "error", at.alias("attempted_at"),
         )
-        touched = store.current("deliveries").join(due.select("sink_key", "event_id"), ["sink_key", "event_id"], "left_semi")
-        outcomes = delivery.apply_outcomes(
-            touched, attempts, store.current("signals", ["seq"]), self.max_attempts
-        )
+        touched = store.current("deliveries", only=due)
+        versions = store.current("signals", ["seq"], names=["event_hash"], only=chosen)
+        outcomes = delivery.apply_outcomes(touched, attempts, versions, self.max_attempts)
         store.write("outcomes", sid, pass_id, outcomes)
         done = store.read_batch("outcomes", outcomes.schema, sid, pass_id)
         # A superseded row was queued again meanwhile; writing it would hide the newer state.
