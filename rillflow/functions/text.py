@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times inside ``fn``."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends (``trim`` only knows the space)."""
     return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rillflow.functions.text import strip
+from rillflow.functions.text import let, strip
 
 _ISO = (
     r"^\d{4}-\d{2}-\d{2}"
@@ -32,12 +32,12 @@ def to_utc(c: Column) -> Column:
 
 def parse_iso(c: Column) -> Column:
     """ISO-8601 date or date-time; null when the text is anything else."""
-    text = strip(c)
-    zoned = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    date_only = F.length(text) == 10
-    return F.when(
-        text.rlike(_ISO), F.when(date_only, text.try_cast("timestamp")).otherwise(zoned.try_cast("timestamp"))
-    )
+    def read(t: Column) -> Column:
+        # A colon in the zone and a point before the fraction, as the cast wants them.
+        zoned = F.regexp_replace(F.replace(t, F.lit(","), F.lit(".")), r"(:\d{2}.*[+-]\d{2})(\d{2})$", "$1:$2")
+        return F.when(t.rlike(_ISO), zoned.try_cast("timestamp"))
+
+    return let(strip(c), read)
 
 
 def parse_epoch(c: Column) -> Column:
@@ -48,31 +48,34 @@ def parse_epoch(c: Column) -> Column:
 
 def parse_mail_date(c: Column) -> Column:
     """RFC-822 style dates with numeric or named zones; an unknown zone reads as UTC."""
-    text = strip(c)
+    return let(strip(c), lambda t: F.when(t.rlike(_MAIL), let(_fields(t), _utc_of_fields)))
+
+
+def _fields(text: Column) -> Column:
+    """Day, month, year, hour, minute, second and zone of a date that matches the pattern."""
+    return F.split(F.regexp_replace(text, _MAIL, "$1|$2|$3|$4|$5|$6|$7"), r"\|")
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _MAIL, i)
 
-    year = part(3).try_cast("int")
-    year = F.when(F.length(part(3)) == 4, year).when(year > 68, year + 1900).otherwise(year + 2000)
-    month = F.floor((F.instr(F.lit(_MONTHS), F.lower(part(2))) + 2) / 3)
-    second = F.coalesce(part(6).try_cast("int"), F.lit(0))
+def _utc_of_fields(f: Column) -> Column:
+    year = f[2].try_cast("int")
+    year = F.when(F.length(f[2]) == 4, year).when(year > 68, year + 1900).otherwise(year + 2000)
+    month = F.floor((F.instr(F.lit(_MONTHS), F.lower(f[1])) + 2) / 3)
     stamp = F.format_string(
         "%04d-%02d-%02d %02d:%02d:%02d",
-        year.cast("int"), month.cast("int"), part(1).try_cast("int"),
-        part(4).try_cast("int"), part(5).try_cast("int"), second,
+        year.cast("int"), month.cast("int"), f[0].try_cast("int"), f[3].try_cast("int"),
+        f[4].try_cast("int"), F.coalesce(f[5].try_cast("int"), F.lit(0)),
     )
-    zone = F.upper(F.regexp_extract(part(7), r"^\(?([A-Za-z]+|[+-]\d{4})", 1))
-    named = F.create_map(*[F.lit(x) for kv in _ZONES.items() for x in (kv[0], kv[1] * 3600)])
-    numeric = F.when(
-        zone.rlike(r"^[+-]\d{4}$"),
-        F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
-        * (F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60),
-    )
-    offset = F.coalesce(numeric, F.try_element_at(named, zone), F.lit(0))
-    local = stamp.try_cast("timestamp")
-    utc = F.timestamp_micros(F.unix_micros(local) - offset.cast("long") * 1_000_000)
-    return F.when(text.rlike(_MAIL) & (month >= 1), utc)
+    local = F.when(month >= 1, stamp.try_cast("timestamp"))
+    offset = let(F.upper(F.regexp_extract(f[6], r"^\(?([A-Za-z]+|[+-]\d{4})", 1)), _zone_seconds)
+    return F.timestamp_micros(F.unix_micros(local) - offset * 1_000_000)
+
+
+def _zone_seconds(zone: Column) -> Column:
+    hours = F.create_map(*[F.lit(x) for pair in _ZONES.items() for x in pair])
+    sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
+    numeric = F.when(zone.rlike(r"^[+-]\d{4}$"), sign * minutes * 60)
+    return F.coalesce(numeric, F.try_element_at(hours, zone) * 3600, F.lit(0)).cast("bigint")
 
 
 def feed_time(c: Column, fetched_at: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillflow.operators import delivery, outbox, sinks
 from rillflow.operators.store import Store
-from rillflow.schemas import columns
+from rillflow.schemas import DELIVERIES, columns
 
 _READY = columns(
     "sink_key string, event_id string, prior_attempts int, event_hash string"
@@ -16,6 +17,8 @@ _SENT = columns(
     "event_id string, sent_hash string, status int, retry_after_text string, failure string"
 )
 
+_OUTCOMES = T.StructType([*DELIVERIES.fields, T.StructField("result", T.StringType())])
+
 
 class Delivery:
     """One sink's worker. Passes of different sinks touch different rows and never wait for another.
@@ -37,10 +40,13 @@ class Delivery:
     def run_pass(self, pass_id: int, now=None) -> DataFrame:
         """Send one batch and commit the outcomes; returns the pass summary.
 
-        What is due and what the receiver answered are written before they are used, so a pass that
-        is repeated after a failure sends the same versions under the same keys.
+        What is due and what the receiver answered are written before they are used, so one pass works
+        on one set of versions. A committed pass is not sent again; one that failed before its commit
+        is, and the idempotency keys let the receiver tell.
         """
         store, sid = self.store, self.stream_id
+        if store.is_committed(sid, pass_id):
+            return delivery.pass_summary(store.read_batch("outcomes", _OUTCOMES, sid, pass_id))
         at = F.current_timestamp() if now is None else now
         mine = store.current("deliveries").filter(F.col("sink_key") == self.sink)
         rows = delivery.ready(mine, at, self.limit)
@@ -65,7 +71,7 @@ class Delivery:
         versions = store.current("signals", ["seq"], names=["event_hash"], only=chosen)
         outcomes = delivery.apply_outcomes(touched, attempts, versions, self.max_attempts)
         store.write("outcomes", sid, pass_id, outcomes)
-        done = store.read_batch("outcomes", outcomes.schema, sid, pass_id)
+        done = store.read_batch("outcomes", _OUTCOMES, sid, pass_id)
         # A superseded row was queued again meanwhile; writing it would hide the newer state.
         store.write("deliveries", sid, pass_id, done.filter(F.col("result") != "superseded").select(*outbox.COLUMNS))
         store.commit(sid, pass_id)

@@ -71,6 +71,8 @@ def test_ingest_and_delivery(spark, tmp_path):
     now = F.lit("2030-01-01 00:00:00").cast("timestamp")
     done = Delivery(store, "archive", "https://sink", send).run_pass(0, now).collect()[0]
     assert (done["attempted"], done["delivered"], done["failed"], done["dead"]) == (3, 1, 1, 1)
+    again = Delivery(store, "archive", "https://sink", None).run_pass(0, now).collect()[0]
+    assert again == done
     rows = {r["status"]: r for r in store.current("deliveries").collect()}
     assert rows["failed"]["next_attempt_at"].isoformat() == "2030-01-01T00:00:07"
     assert rows["dead"]["last_error"] == "webhook HTTP 400"
