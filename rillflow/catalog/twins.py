@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
-
-
 def iso(column: str) -> str:
     return f"(strftime({column}, '%Y-%m-%dT%H:%M:%S') || '+00:00')"
 

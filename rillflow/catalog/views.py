@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.functions import fingerprint, source_key, stable_id
-from rillflow.schemas import KINDS, SIGNAL_COLUMNS
+from rillflow.schemas import KINDS, SIGNAL_COLUMNS, SIGNALS
 
 EPOCH = "2024-01-01 00:00:00"
 PAGE = 20
@@ -114,8 +114,6 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_signals(spark: SparkSession) -> DataFrame:
-    from rillflow.schemas import SIGNALS
-
     return spark.createDataFrame([], SIGNALS)
 
 

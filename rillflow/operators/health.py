@@ -120,7 +120,6 @@ def fold_health(
     )
     joined = totals.join(last_ok, key, "left").join(trailing, key, "left")
     if prior is None:
-        old = None
         carried, runs, events, ok_at = F.lit(0), F.lit(0), F.lit(0), F.lit(None).cast("timestamp")
     else:
         old = prior.select(
