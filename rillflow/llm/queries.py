@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from rillflow.llm.minhash import op10_minhash_dedup
 from rillflow.llm.suffixes import op2_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op10_minhash_dedup)}
 ORACLES: dict[str, str] = {}
