@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from rillflow.llm.decontaminate import op4_decontaminate
 from rillflow.llm.minhash import op10_minhash_dedup
+from rillflow.llm.packing import op9_pack_documents
+from rillflow.llm.quality import op1_quality_rules
+from rillflow.llm.sitetree import op5_site_tree
 from rillflow.llm.suffixes import op2_suffix_dedup
+from rillflow.llm.tokenfiles import op8_token_files
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op10_minhash_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_suffix_dedup, op4_decontaminate, op5_site_tree, op8_token_files, op9_pack_documents, op10_minhash_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
