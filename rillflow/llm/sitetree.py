@@ -17,7 +17,6 @@ from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -236,9 +235,10 @@ def importance(nodes: pd.DataFrame, damping: float, least_pages: int) -> dict[in
 
 
 def _low(limit: float, damping: float, least_pages: int):
-    def of_host(nodes: pd.DataFrame) -> pd.DataFrame:
-        low = [p for p, x in importance(nodes, damping, least_pages).items() if x < limit]
-        return pd.DataFrame({"host": [nodes["host"].iloc[0]] if low else [], "low": [low] if low else []})
+    def of_host(nodes: pa.Table) -> pa.Table:
+        low = [p for p, x in importance(nodes.to_pandas(), damping, least_pages).items() if x < limit]
+        hosts = nodes.column("host").slice(0, 1 if low else 0)
+        return pa.table({"host": hosts, "low": pa.array([low] if low else [], pa.list_(pa.int64()))})
 
     return of_host
 
@@ -293,7 +293,7 @@ def main_texts(
         F.sum(F.when(F.col("kind") == BLOCK, 1).otherwise(0)).alias("blocks"),
         F.sum(F.when(F.col("kind") == BLOCK, log_n).otherwise(0.0)).alias("block_logs"),
     ).where("pages is not null")
-    low = nodes.groupBy("host").applyInPandas(_low(limit, damping, least_pages), "host string, low array<long>")
+    low = nodes.groupBy("host").applyInArrow(_low(limit, damping, least_pages), "host string, low array<long>")
     mark = F.instr("url", "://")
     rest = F.when(mark > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     host = F.translate(F.regexp_extract(F.coalesce(rest, F.lit("")), "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
