@@ -74,20 +74,25 @@ def _repeated_words(words: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return total[cut[1:]] - total[cut[:-1]]
 
 
+def measured(texts: list[bytes]) -> np.ndarray:
+    """Per text: words, characters in words, symbols, words in repeated windows of three."""
+    numbers = []
+    for a, b in slices(np.array([len(t) for t in texts], np.int64)):
+        buf = np.frombuffer(b"\n".join(texts[a:b]), np.uint8)
+        starts, _, words = word_spans(buf, lower=False)
+        first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
+        cut = np.searchsorted(starts, first)
+        ends = np.minimum(first, len(buf))
+        chars, symbols = (np.concatenate([[0], np.cumsum(table[buf])])[ends] for table in (_CHAR, _SYMBOL))
+        numbers.append(np.stack([np.diff(cut), np.diff(chars), np.diff(symbols), _repeated_words(words, cut)]))
+    return np.concatenate(numbers, axis=1) if numbers else np.empty((4, 0), np.int64)
+
+
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
         ids, texts, hosts = ids_of(batch.column(0)), texts_of(batch.column(1)), batch.column(2).fill_null("")
-        numbers = []
-        for a, b in slices(np.array([len(t) for t in texts], np.int64)):
-            buf = np.frombuffer(b"\n".join(texts[a:b]), np.uint8)
-            starts, _, words = word_spans(buf, lower=False)
-            first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
-            cut = np.searchsorted(starts, first)
-            ends = np.minimum(first, len(buf))
-            chars, symbols = (np.concatenate([[0], np.cumsum(table[buf])])[ends] for table in (_CHAR, _SYMBOL))
-            numbers.append(np.stack([np.diff(cut), np.diff(chars), np.diff(symbols), _repeated_words(words, cut)]))
-        n_words, chars, symbols, repeats = np.concatenate(numbers, axis=1) if numbers else np.empty((4, 0), np.int64)
+        n_words, chars, symbols, repeats = measured(texts)
         lines = [_lines(t) for t in texts]
         keys = [xxhash.xxh3_128_intdigest(t) for t in texts]
         yield pa.RecordBatch.from_arrays([
@@ -108,21 +113,25 @@ def frequent_lines(stats: DataFrame, max_share: float, least_docs: int) -> DataF
     return counts.join(limits, "host").where("n > limit").select("host", "h")
 
 
+def _prepared(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
+    stats = saved(texts.mapInArrow(_stats, STATS))
+    return stats, saved(frequent_lines(stats, max_share, least_docs))
+
+
 def judged(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = 0.1, least_docs: int = 20,
     least_words: int = 50, least_kept_share: float = 0.5,
-) -> tuple[DataFrame, DataFrame]:
-    """The verdict on every document, and the frequent lines (host, h) removed for it.
+) -> DataFrame:
+    """The verdict on every document.
 
-    Rows of the first: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words (words in
+    Rows: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words (words in
     removed lines), base_failed, kept. A document fails the base rules with fewer than ``least_words`` words or
     with more than half of them in repeated windows of three; it is depleted when removal leaves fewer than
     ``least_words`` words or less than ``least_kept_share`` of them. Null texts have no words, a null host is
     the nameless one, null ids stay null. Repeated rows are judged alike. An empty table gives no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
-    stats = saved(texts.mapInArrow(_stats, STATS))
-    frequent = saved(frequent_lines(stats, max_share, least_docs))
+    stats, frequent = _prepared(docs, id_col, text_col, host_col, max_share, least_docs)
     lines = stats.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
     lost = lines.join(frequent, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("lost_words"))
     base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -133,37 +142,45 @@ def judged(
     )
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept",
-    ), frequent
+    )
 
 
-def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """``docs`` without rejected documents, and without the frequent lines of their host in the others.
+def filtered(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = 0.1, least_docs: int = 20,
+    least_words: int = 50, least_kept_share: float = 0.5,
+) -> DataFrame:
+    """``docs`` without the documents that ``judged`` rejects, and without the frequent lines of their host in the others.
 
-    All columns stay. Rows that share an id go when one of them is rejected; null ids are judged together.
+    All columns stay. Every document is judged in place: it meets its host's frequent lines, of which there
+    are few, for each stands in a share of the host's documents.
     """
-    verdicts, frequent = judged(docs, id_col, text_col, host_col, **limits)
-    rejected = verdicts.where("not kept").select(F.col("doc_id").alias("_rejected")).distinct()
-    kept = docs.join(rejected, F.col(id_col).cast("long").eqNullSafe(F.col("_rejected")), "left_anti")
-    # A host's frequent lines in one row: each is on a share of the host's documents, so there are few.
+    _, frequent = _prepared(docs, id_col, text_col, host_col, max_share, least_docs)
     per_host = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_set("h").alias("_lines"))
-    joined = kept.join(per_host, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("_host"), "left")
+    joined = docs.join(per_host, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("_host"), "left")
     columns = docs.columns
+    place = columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = columns.index(text_col)
         for batch in batches:
-            texts = []
-            for text, gone in zip(batch.column(place).to_pylist(), batch.column(len(columns) + 1).to_pylist()):
-                if gone and text:
-                    gone = set(gone)
-                    lines = text.encode().split(b"\n")
-                    left = [x for x in lines if (line_key(x) or (None,))[0] not in gone]
-                    text = b"\n".join(left).decode() if len(left) < len(lines) else text
-                texts.append(text)
-            yield batch.select(columns).set_column(place, columns[place], pa.array(texts, pa.string()))
+            texts, keep = texts_of(batch.column(place)), []
+            n_words, _, _, repeats = measured(texts)
+            changed = batch.column(place).to_pylist()
+            for i, (text, n, r, gone) in enumerate(zip(texts, n_words.tolist(), repeats.tolist(), batch.column(len(columns) + 1).to_pylist())):
+                if n < least_words or 100 * r > 50 * n:
+                    continue
+                if gone:
+                    lines = [(line, line_key(line)) for line in text.split(b"\n")]
+                    lost = sum(k[1] for _, k in lines if k and k[0] in gone)
+                    if lost and (n - lost < least_words or n - lost < least_kept_share * n):
+                        continue
+                    if lost:
+                        changed[i] = b"\n".join(x for x, k in lines if not (k and k[0] in gone)).decode()
+                keep.append(i)
+            rows = batch.select(columns).set_column(place, columns[place], pa.array(changed, pa.string()))
+            yield rows.take(pa.array(keep, pa.int64()))
 
     return joined.mapInArrow(cut, docs.schema)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
+    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))

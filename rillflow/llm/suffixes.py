@@ -35,7 +35,7 @@ CHUNK_BYTES = 16 << 20
 #: Text bytes for each bucket of grams, and of strings.
 GRAM_BUCKET, STRING_BUCKET = 6 << 20, 2 << 20
 
-CHUNK = "chunk long, ids binary, lens binary, body binary"
+CHUNK = "chunk long, ids binary, lens binary, body binary, rest binary"
 ROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("body", pa.binary())])
 MARK = pa.schema([("chunk", pa.int64()), ("kind", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary())])
 
@@ -48,6 +48,17 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _rows(batches: list[pa.RecordBatch]) -> bytes:
+    """Rows of other columns as an Arrow stream; nothing where there are none."""
+    if not batches[0].num_columns:
+        return b""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     held, size = [], 0
@@ -59,14 +70,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "ids": [np.array([x[0] for x in held], np.int64).tobytes()],
             "lens": [np.array([len(x[1]) for x in held], np.int64).tobytes()],
             "body": [_pack(b"".join(x[1] for x in held))],
+            "rest": [_pack(_rows([x[2] for x in held]))],
         })
 
     for batch in batches:
-        for key, text in zip(ids_of(batch.column(0)).tolist(), texts_of(batch.column(1))):
+        rest = batch.select(batch.schema.names[2:])
+        for i, (key, text) in enumerate(zip(ids_of(batch.column(0)).tolist(), texts_of(batch.column(1)))):
             if held and size + len(text) > CHUNK_BYTES:
                 yield row()
                 held, size, number = [], 0, number + 1
-            held.append((key, text))
+            held.append((key, text, rest.slice(i, 1)))
             size += len(text)
     if held:
         yield row()
@@ -403,17 +416,10 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, with_kept: bool = False) -> DataFrame:
-    """Byte spans of each text covered by strings of ``min_bytes`` that also start in a document with a smaller id.
-
-    Rows: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), spans, and with
-    ``with_kept`` the remaining bytes as ``kept``. Matches never cross documents and are judged on the
-    input. A null text is empty; a null id comes before all others; rows with the same id never count
-    against each other; other columns are not read. An empty table gives no rows.
-    """
+def _searched(docs: DataFrame, min_bytes: int):
+    """Chunks by number, their marks, and a function from both to (id, text, spans) per document."""
     if min_bytes < 16:
         raise ValueError("min_bytes must be 16 or more")
-    docs = narrowed(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     gram_buckets, buckets = max(8, -(-size // GRAM_BUCKET)), max(8, -(-size // STRING_BUCKET))
     chunks = chunked(docs)
@@ -425,23 +431,54 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _send(min_bytes, gram_buckets, buckets), "bucket long, chunk long, body binary",
     )
     answers = strings.groupBy("bucket").applyInArrow(_sort_bucket(min_bytes), mark)
+    marks = found.unionByName(answers).groupBy("chunk")
+    return by_chunk.cogroup(marks), lambda chunk, marks: _removed(chunk, marks, min_bytes, gram_buckets, buckets)
 
-    def cut(chunk: pa.Table, marks: pa.Table) -> pa.Table:
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50) -> DataFrame:
+    """Byte spans of each text covered by strings of ``min_bytes`` that also start in a document with a smaller id.
+
+    Rows: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), spans. Matches never cross
+    documents and are judged on the input. A null text is empty; a null id comes before all others; rows with
+    the same id never count against each other; other columns are not read. An empty table gives no rows.
+    """
+    grouped, removed = _searched(narrowed(docs, id_col, text_col), min_bytes)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def report(chunk: pa.Table, marks: pa.Table) -> pa.Table:
         out = []
-        for key, text, spans in _removed(chunk, marks, min_bytes, gram_buckets, buckets):
-            kept = _without(text, spans)
-            out.append((key, len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(),
-                        [{"start": a, "end": b} for a, b in spans], kept if with_kept else None))
-        cols = list(zip(*out)) if out else [[]] * 7
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        arrays = [ids_back(np.array(cols[0], np.int64)), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], span)]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-        if with_kept:
-            arrays.append(pa.array(cols[6], pa.binary()))
-            names.append("kept")
-        return pa.Table.from_arrays(arrays, names)
-
-    return by_chunk.cogroup(found.unionByName(answers).groupBy("chunk")).applyInArrow(cut, SPANS + ", kept binary" * with_kept)
+        for key, text, spans in removed(chunk, marks):
+            kept = hashlib.sha256(_without(text, spans)).hexdigest()
+            out.append((key, len(text), sum(b - a for a, b in spans), len(spans), kept, [{"start": a, "end": b} for a, b in spans]))
+        cols = list(zip(*out)) if out else [[]] * 6
+        return pa.Table.from_arrays(
+            [ids_back(np.array(cols[0], np.int64)), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], span)],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+        )
+
+    return grouped.applyInArrow(report, SPANS)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50) -> DataFrame:
+    """``docs`` with the spans of ``repeated_spans`` cut from the texts; all rows and columns stay.
+
+    A cut inside a character takes the rest of that character along. A null text becomes empty.
+    """
+    columns = docs.columns
+    renamed = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c for c, n in zip(renamed, columns) if n != text_col])
+    grouped, removed = _searched(texts, min_bytes)
+
+    def cut(chunk: pa.Table, marks: pa.Table) -> pa.Table:
+        tables = []
+        for row in chunk.to_pylist():
+            kept = [_without(text, spans).decode("utf-8", "ignore") for _, text, spans in removed(chunk, marks)]
+            rest = pa.ipc.open_stream(_unpack(row["rest"])).read_all() if row["rest"] else None
+            cols = {n: pa.chunked_array([pa.array(kept, pa.string())]) if n == text_col else rest.column(f"c{i}") for i, n in enumerate(columns)}
+            tables.append(pa.table(list(cols.values()), names=columns))
+        return pa.concat_tables(tables)
+
+    return grouped.applyInArrow(cut, docs.schema)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
