@@ -166,9 +166,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(signs, "id").join(signs.select(F.col("id").alias("head"), F.col("sign").alias("head_sign")), "head")
         .where(alike >= AGREE).select("head", "id")
     )
-    wanted = candidates.select("id").unionByName(candidates.select(F.col("head").alias("id"))).distinct()
+    # The texts of all that share a band, taken once: steps 2 and 3 compare only these.
     texts = docs.withColumnRenamed("doc_id", "id")
-    involved = saved(texts.join(wanted, "id", "left_semi"))
+    involved = saved(texts.join(shared.select("id").distinct(), "id", "left_semi"))
     pairs = candidates.join(involved, "id").join(involved.select(F.col("id").alias("head"), F.col("text").alias("head_text")), "head")
     links = saved(pairs.select("head", "id", "head_text", "text").mapInArrow(_confirm(width, percent), "u long, v long"))
     first = components(links)
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = labelled(trees.select(F.col("node").alias("id"), F.col("component").alias("tree"))
                        .unionByName(trees.select(F.col("component").alias("id"), F.col("component").alias("tree")).distinct()), first)
     open_trees = grouped.groupBy("tree").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("tree")
-    rest = grouped.join(open_trees, "tree").join(signs, "id").join(texts, "id")
+    rest = grouped.join(open_trees, "tree").join(signs, "id").join(involved, "id")
     more = saved(_blocks(rest, "tree").groupBy("tree", "lo", "hi").applyInArrow(_exact(width, percent), "u long, v long"))
     final = components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     by_class = labelled(classes, final)
