@@ -231,8 +231,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """
     window = names.pop("window", 10)
     found = contamination(docs, items, id_col, text_col, window=window, **names).where("n_hit > 0").dropDuplicates()
-    # Removal follows byte ranges, so it joins on the id and on the text's word count and size of hits.
-    runs = found.select(F.col("doc_id").alias("_hit_id"), "n_words", "n_hit", "spans")
+    runs = found.select(F.col("doc_id").alias("_hit_id"), F.col("n_words").alias("_n_words"), F.col("n_hit").alias("_n_hit"), F.col("spans").alias("_spans"))
     joined = docs.join(runs, F.col(id_col).cast("long") == F.col("_hit_id"), "left")
     columns = docs.columns
 

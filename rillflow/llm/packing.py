@@ -36,10 +36,10 @@ class Levels:
     def level_for(self, n: int) -> int:
         """The fill level (0: a new window) to which ``n`` ids go; among equals the fullest."""
         counts, last = self.counts, self.size - n
-        # The change of the sum of squares, halved: a level gives up a window, another gets one; a full one counts no more.
-        gain = counts[n:].copy()
-        gain[last] = -1
-        cost = gain + 1 - np.where(np.arange(last + 1) > 0, counts[: last + 1], 0)
+        # The change of the sum of squares: a level gets a window, another gives one up; full windows count no more.
+        cost = 2 * counts[n:] + 1
+        cost[last] = 0
+        cost[1:] -= 2 * counts[1 : last + 1] - 1
         usable = counts[: last + 1] > 0
         usable[0] = True
         cost[~usable] = np.iinfo(np.int64).max
@@ -111,7 +111,7 @@ def _pack(vocabulary: str, end_id: int, size: int, with_ids: bool):
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             keys, texts = ids_of(batch.column(0)).tolist(), texts_of(batch.column(1))
-            for a, b in slices(np.array([len(t) for t in texts], np.int64), 8 << 20):
+            for a, b in slices([len(t) for t in texts]):
                 for key, raw in zip(keys[a:b], encoder(vocabulary).encode([t.decode() for t in texts[a:b]])):
                     ids = raw + end
                     total = len(ids) // 4
