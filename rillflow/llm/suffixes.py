@@ -31,7 +31,7 @@ from rillflow.llm.common import NULL_ID, U, ids_back, ids_of, mixed, narrowed, s
 COVER, PERIOD = (0, 1, 3), 7
 #: SHIFTS[a][b]: the least shift that brings places of both remainders into the cover.
 SHIFTS = [[next(s for s in range(7) if (a + s) % 7 in COVER and (b + s) % 7 in COVER) for b in range(7)] for a in range(7)]
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Text bytes for each bucket of grams, and of strings.
 GRAM_BUCKET, STRING_BUCKET = 6 << 20, 2 << 20
 
@@ -86,7 +86,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """Documents in chunks of about 16 MB, by id inside a chunk, written to the shared folder."""
+    """Documents in chunks of about 8 MB, by id inside a chunk, written to the shared folder."""
     return saved(docs.mapInArrow(_chunks, CHUNK))
 
 
@@ -421,7 +421,7 @@ def _searched(docs: DataFrame, min_bytes: int):
     if min_bytes < 16:
         raise ValueError("min_bytes must be 16 or more")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    gram_buckets, buckets = max(8, -(-size // GRAM_BUCKET)), max(8, -(-size // STRING_BUCKET))
+    gram_buckets, buckets = max(32, -(-size // GRAM_BUCKET)), max(32, -(-size // STRING_BUCKET))
     chunks = chunked(docs)
     grams = chunks.mapInArrow(_gram_rows(min_bytes, gram_buckets), "bucket long, chunk long, body binary")
     mark = "chunk long, kind long, bucket long, body binary"
