@@ -33,7 +33,7 @@ def search_totals(spark, sf):
 
 
 def search_filtered(spark, sf):
-    page, _ = se.search(v.doc_signals(spark, sf), "e", source="src5", kind="story", limit=500)
+    page, _ = se.search(v.doc_signals(spark, sf), "e", source="src5", kind="story", limit=200)
     return se.search_view(page).select("id", "content_truncated", "collected_at")
 
 

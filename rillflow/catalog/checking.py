@@ -142,19 +142,19 @@ pages AS (SELECT page_id, 'events:all' AS source_key, CASE WHEN n = 5 THEN -1 EL
     SELECT CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS page_id, count(*) AS n, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS k,
       max(user_id) AS u, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events GROUP BY 1)),
 owner AS (SELECT e.page_id, e.id AS event_id, 'ownership' AS rule,
-    'event ''' || e.id || ''' belongs to ''' || e.k || ''', expected ''' || p.source_key || '''' AS message
+    'id ''' || e.id || ''' comes from ''' || e.k || ''', the page is for ''' || p.source_key || '''' AS message
     FROM page_events e JOIN pages p USING (page_id) WHERE e.k <> p.source_key),
-twice AS (SELECT page_id, id AS event_id, 'unique' AS rule, 'duplicate event id in one collector batch: ''' || id || '''' AS message
+twice AS (SELECT page_id, id AS event_id, 'unique' AS rule, 'id ''' || id || ''' stands on its page more than once' AS message
     FROM page_events GROUP BY page_id, id HAVING count(*) > 1),
 broken AS (SELECT page_id, CAST(NULL AS VARCHAR) AS event_id, 'page' AS rule, message FROM (
     SELECT page_id, unnest(list_filter([
-      CASE WHEN primary_count < 0 THEN 'primary_count must be >= 0' END,
-      CASE WHEN primary_count > 14 THEN 'primary_count exceeds the limit' END,
-      CASE WHEN has_more AND cursor_key IS NULL THEN 'has_more requires a continuation cursor' END,
-      CASE WHEN cursor_key <> source_key THEN 'cursor belongs to another source' END,
-      CASE WHEN previous_key <> source_key THEN 'previous cursor belongs to another source' END,
-      CASE WHEN lim < 0 THEN 'rate limit must be >= 0' END,
-      CASE WHEN rem < 0 THEN 'rate-limit remaining must be >= 0' END], lambda m: m IS NOT NULL)) AS message FROM pages))"""
+      CASE WHEN primary_count < 0 THEN 'negative item count' END,
+      CASE WHEN primary_count > 14 THEN 'more items than asked for' END,
+      CASE WHEN has_more AND cursor_key IS NULL THEN 'more pages announced without a cursor' END,
+      CASE WHEN cursor_key <> source_key THEN 'new cursor of a foreign source' END,
+      CASE WHEN previous_key <> source_key THEN 'old cursor of a foreign source' END,
+      CASE WHEN lim < 0 THEN 'negative rate limit' END,
+      CASE WHEN rem < 0 THEN 'negative rate-limit remainder' END], lambda m: m IS NOT NULL)) AS message FROM pages))"""
 
 _BROKEN = """, broken AS (SELECT * REPLACE (CASE WHEN author IS NULL THEN ' ' ELSE url END AS url,
     CASE WHEN source_instance = 'es' THEN 'essay' ELSE kind END AS kind, CASE WHEN updated_at IS NULL THEN 0 ELSE 1 END AS schema_version) FROM sig)"""
@@ -176,8 +176,8 @@ QUERIES = {
     "row_validity": (
         row_validity,
         with_parts("sig", f"""{_BROKEN} SELECT id, unnest(list_filter([
-          CASE WHEN trim(url) = '' THEN 'event url must not be empty' END,
-          CASE WHEN schema_version < 1 THEN 'schema_version must be >= 1' END,
+          CASE WHEN trim(url) = '' THEN 'url is blank' END,
+          CASE WHEN schema_version < 1 THEN 'schema version below one' END,
           CASE WHEN kind = 'essay' THEN 'kind is not known' END], lambda m: m IS NOT NULL)) AS reason FROM broken"""),
     ),
     "valid_rows": (

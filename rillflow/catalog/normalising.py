@@ -84,6 +84,12 @@ def issue_comments(spark, sf):
     return show(issues.normalize_github_comments(comments, issues.issue_keys(items)))
 
 
+def issue_comments_all(spark, sf):
+    items, _ = issues.parse_search(p.search_payloads(spark, sf))
+    comments = issues.parse_comments(p.issue_comment_payloads(spark, sf))
+    return show(issues.normalize_github_comments(comments, issues.issue_keys(items)))
+
+
 def posts(spark, sf):
     return show(listings.normalize_reddit_posts(listings.parse_posts(p.listing_payloads(spark, sf))[0]))
 
@@ -93,6 +99,11 @@ def post_comments(spark, sf):
     return show(listings.normalize_reddit_comments(comments))
 
 
+def post_comments_all(spark, sf):
+    comments, _ = listings.parse_comment_pages(p.thread_payloads(spark, sf))
+    return show(listings.normalize_reddit_comments(comments))
+
+
 def truncated_threads(spark, sf):
     return listings.parse_comment_pages(p.thread_payloads(spark, sf), 3)[1].select("post_id", "truncated")
 
@@ -182,6 +193,34 @@ def _feed_meta(url: str, tags: str) -> str:
 
 _TURN = "FROM (SELECT *, conv_id * 100 + turn AS doc_id FROM conversations)"
 
+def _issue_comments_sql(where: str, pos: str) -> str:
+    """Comments on orders as issues; a conversation without an order has no known parent."""
+    parent = sid("'github'", "parent", "pkind", "'search-orders'")
+    return f"""SELECT external_id, {sid("'github'", 'external_id', "'comment'", "'search-orders'")} AS id, 'comment' AS kind,
+      CAST(NULL AS VARCHAR) AS title, text AS content, role AS author,
+      CASE WHEN known THEN 'https://example.org/i/' || conv_id ELSE repo END AS url,
+      conv_id AS payload_id, CAST({pos} AS INTEGER) AS pos, {iso(after('doc_id'))} AS created_at,
+      CAST(NULL AS VARCHAR) AS updated_at,
+      '{{"external_id":"' || external_id || '","issue_number":' || conv_id || ',"parent_event_id":'
+      || CASE WHEN known THEN '"' || {parent} || '"' ELSE 'null' END || ',"repository_url":"' || repo || '"}}' AS metadata_json
+      FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN 'C' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS external_id,
+        CASE WHEN conv_id % 10 <> 0 THEN 'N' || conv_id ELSE repo || '#' || conv_id END AS parent,
+        CASE WHEN conv_id % 3 = 0 THEN 'pull_request' ELSE 'issue' END AS pkind, conv_id IN (SELECT o_orderkey FROM orders) AS known
+        FROM (SELECT *, conv_id * 100 + turn AS doc_id, max(turn) OVER (PARTITION BY conv_id) AS last,
+          'https://api.example.org/repos/r' || conv_id % 7 AS repo FROM conversations)
+        {where})"""
+
+
+def _thread_comments_sql(where: str) -> str:
+    return f"""SELECT external_id, {sid("'reddit'", 'external_id', "'comment'", "'r-chat-new'")} AS id, 'comment' AS kind,
+          CAST(NULL AS VARCHAR) AS title, text AS content, role AS author, 'https://www.reddit.com/comments/' || conv_id AS url,
+          conv_id AS payload_id, CAST(turn AS INTEGER) AS pos, {iso(after('doc_id'))} AS created_at, CAST(NULL AS VARCHAR) AS updated_at,
+          '{{"external_id":"' || external_id || '","link_id":"t3_' || conv_id || '","native_id":"' || doc_id || '","parent_event_id":"'
+          || {sid("'reddit'", "'t3_' || conv_id", "'post'", "'r-chat-new'")} || '","parent_id":null,"post_id":"' || conv_id
+          || '","score":' || turn || ',"subreddit":"chat"}}' AS metadata_json
+          FROM (SELECT *, 't1_' || (conv_id * 100 + turn) AS external_id, conv_id * 100 + turn AS doc_id FROM conversations) {where}"""
+
+
 QUERIES = {
     "jsonfeed_signals": (
         jsonfeed_signals,
@@ -192,10 +231,10 @@ QUERIES = {
     "jsonfeed_problems": (
         jsonfeed_problems,
         """WITH pages AS (SELECT DISTINCT doc_id // 20 AS page FROM documents)
-        SELECT 'warning' AS level, 'ignored malformed JSON Feed item' AS message, count(*) AS n FROM pages
-        UNION ALL SELECT 'warning', 'ignored JSON Feed item without required id', count(*) FROM pages
-        UNION ALL SELECT 'error', ['unsupported JSON Feed version: https://x/2.1', 'invalid JSON in JSON Feed response',
-          'JSON Feed items must be a list'][CAST(page % 3 + 1 AS INTEGER)], count(*) FROM pages GROUP BY page % 3""",
+        SELECT 'warning' AS level, 'skipped a feed item that is no object' AS message, count(*) AS n FROM pages
+        UNION ALL SELECT 'warning', 'skipped a feed item without an id', count(*) FROM pages
+        UNION ALL SELECT 'error', ['cannot read feed version: https://x/2.1', 'feed body is no JSON',
+          'feed items are no list'][CAST(page % 3 + 1 AS INTEGER)], count(*) FROM pages GROUP BY page % 3""",
     ),
     "rss_signals": (
         rss_signals,
@@ -220,7 +259,7 @@ QUERIES = {
     ),
     "mapped_rejections": (
         mapped_rejections,
-        "SELECT 'datetime path ''node.title'' is not ISO-8601' AS message, count(DISTINCT doc_id // 20) AS n, CAST(0 AS BIGINT) AS items_left FROM documents",
+        "SELECT 'an item has no readable time at ''node.title''' AS message, count(DISTINCT doc_id // 20) AS n, CAST(0 AS BIGINT) AS items_left FROM documents",
     ),
     "issue_signals": (
         search_signals,
@@ -237,24 +276,11 @@ QUERIES = {
     "issue_problems": (
         search_problems,
         """WITH pages AS (SELECT DISTINCT o_orderkey // 20 AS page FROM orders)
-        SELECT 'warning' AS level, 'ignored malformed issue search item' AS message, count(*) AS n FROM pages
-        UNION ALL SELECT 'warning', 'issue search reported incomplete results; this page may be missing matches', count(*) FROM pages WHERE page % 10 = 0""",
-    ),
-    "issue_comments": (
-        issue_comments,
-        f"""SELECT external_id, {sid("'github'", 'external_id', "'comment'", "'search-orders'")} AS id, 'comment' AS kind,
-          CAST(NULL AS VARCHAR) AS title, text AS content, role AS author, 'https://example.org/i/' || conv_id AS url,
-          conv_id AS payload_id, CAST(least(last, 2) - (last - turn) AS INTEGER) AS pos, {iso(after('doc_id'))} AS created_at,
-          CAST(NULL AS VARCHAR) AS updated_at,
-          '{{"external_id":"' || external_id || '","issue_number":' || conv_id || ',"parent_event_id":"' || {sid("'github'", 'parent', 'pkind', "'search-orders'")}
-          || '","repository_url":"' || repo || '"}}' AS metadata_json
-          FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN 'C' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS external_id,
-            CASE WHEN conv_id % 10 <> 0 THEN 'N' || conv_id ELSE repo || '#' || conv_id END AS parent,
-            CASE WHEN conv_id % 3 = 0 THEN 'pull_request' ELSE 'issue' END AS pkind
-            FROM (SELECT *, conv_id * 100 + turn AS doc_id, max(turn) OVER (PARTITION BY conv_id) AS last,
-              'https://api.example.org/repos/r' || conv_id % 7 AS repo FROM conversations)
-            WHERE last - turn < 3 AND conv_id IN (SELECT o_orderkey FROM orders))""",
+        SELECT 'warning' AS level, 'skipped a search result that is no object' AS message, count(*) AS n FROM pages
+        UNION ALL SELECT 'warning', 'the search says that it left out matches', count(*) FROM pages WHERE page % 10 = 0""",
     ),
+    "issue_comments": (issue_comments, _issue_comments_sql("WHERE last - turn < 3", "least(last, 2) - (last - turn)")),
+    "issue_comments_all": (issue_comments_all, _issue_comments_sql("", "turn")),
     "listing_posts": (
         posts,
         f"""SELECT external_id, {sid("'reddit'", 'external_id', "'post'", "'r-chat-new'")} AS id, 'post' AS kind,
@@ -269,16 +295,8 @@ QUERIES = {
           FROM (SELECT *, conv_id AS c, 't3_' || conv_id AS external_id,
             row_number() OVER (PARTITION BY conv_id // 20 ORDER BY conv_id) - 1 AS pos FROM conversations WHERE turn = 0)""",
     ),
-    "thread_comments": (
-        post_comments,
-        f"""SELECT external_id, {sid("'reddit'", 'external_id', "'comment'", "'r-chat-new'")} AS id, 'comment' AS kind,
-          CAST(NULL AS VARCHAR) AS title, text AS content, role AS author, 'https://www.reddit.com/comments/' || conv_id AS url,
-          conv_id AS payload_id, CAST(turn AS INTEGER) AS pos, {iso(after('doc_id'))} AS created_at, CAST(NULL AS VARCHAR) AS updated_at,
-          '{{"external_id":"' || external_id || '","link_id":"t3_' || conv_id || '","native_id":"' || doc_id || '","parent_event_id":"'
-          || {sid("'reddit'", "'t3_' || conv_id", "'post'", "'r-chat-new'")} || '","parent_id":null,"post_id":"' || conv_id
-          || '","score":' || turn || ',"subreddit":"chat"}}' AS metadata_json
-          FROM (SELECT *, 't1_' || (conv_id * 100 + turn) AS external_id, conv_id * 100 + turn AS doc_id FROM conversations) WHERE turn < 3""",
-    ),
+    "thread_comments": (post_comments, _thread_comments_sql("WHERE turn < 3")),
+    "thread_comments_all": (post_comments_all, _thread_comments_sql("")),
     "truncated_threads": (
         truncated_threads,
         "SELECT CAST(conv_id AS VARCHAR) AS post_id, count(*) < 3 AS truncated FROM conversations GROUP BY conv_id",
@@ -307,10 +325,9 @@ QUERIES = {
         """SELECT 'jsonfeed' AS source, 'article' AS kind, count(*) AS n, count(*) AS ids FROM documents
         UNION ALL SELECT 'rss', 'article', 2 * count(*), 2 * count(*) FROM documents
         UNION ALL SELECT 'github', CASE WHEN o_orderkey % 3 = 0 THEN 'pull_request' ELSE 'issue' END AS k, count(*), count(*) FROM orders GROUP BY k
-        UNION ALL SELECT 'github', 'comment', count(*), count(*) FROM (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last
-          FROM conversations) WHERE last - turn < 5 AND conv_id IN (SELECT o_orderkey FROM orders)
+        UNION ALL SELECT 'github', 'comment', count(*), count(*) FROM conversations
         UNION ALL SELECT 'reddit', 'post', count(*), count(*) FROM conversations WHERE turn = 0
-        UNION ALL SELECT 'reddit', 'comment', count(*), count(*) FROM conversations WHERE turn < 5
+        UNION ALL SELECT 'reddit', 'comment', count(*), count(*) FROM conversations
         UNION ALL SELECT 'hackernews', CASE WHEN turn = 0 THEN 'story' ELSE 'comment' END AS k, count(*), count(*) FROM conversations
           WHERE (conv_id * 100 + turn) % 90 <> 1 GROUP BY k""",
     ),

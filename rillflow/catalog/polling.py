@@ -421,8 +421,8 @@ QUERIES = {
         drained,
         with_parts("event_pages", _DRAIN + """ SELECT source_key, run_id, count(*) AS pages, CAST(sum(primary_count) AS BIGINT) AS primary_count,
           arg_max(has_more, page_no) AS has_more, arg_max(cursor_json, page_no) AS cursor_json,
-          arg_max(CASE WHEN has_more AND primary_count = 0 THEN 'collector reported has_more with zero primary items; stopped'
-            WHEN has_more AND stuck THEN 'collector cursor did not advance; stopped to prevent pagination loop' END, CASE WHEN has_more AND (primary_count = 0 OR stuck) THEN page_no END) AS stop_warning,
+          arg_max(CASE WHEN has_more AND primary_count = 0 THEN 'a page without items announced another one; the run ends here'
+            WHEN has_more AND stuck THEN 'the page left the cursor where it was; the run ends here' END, CASE WHEN has_more AND (primary_count = 0 OR stuck) THEN page_no END) AS stop_warning,
           CASE WHEN count(*) >= 6 AND arg_max(has_more, page_no) THEN 'stopped after max_pages=6' END AS depth_warning FROM taken GROUP BY 1, 2"""),
     ),
     "drain_pages": (drained_pages, with_parts("event_pages", _DRAIN + " SELECT run_id, page_no FROM taken")),

@@ -232,30 +232,30 @@ def _prom_sql() -> str:
         return ", ".join(f"({section}, '', {start + i}, '{x}')" for i, x in enumerate(lines))
 
     head = [
-        (0, "'# HELP rillflow_signals_total Normalized signals currently stored.'"),
+        (0, "'# HELP rillflow_signals_total Events held in the current state of the store.'"),
         (1, "'# TYPE rillflow_signals_total gauge'"),
         (2, "'rillflow_signals_total ' || (SELECT count(*) FROM documents)"),
-        (3, "'# HELP rillflow_database_schema_version Persistent table layout version.'"),
+        (3, "'# HELP rillflow_database_schema_version Layout number that the stored tables carry.'"),
         (4, "'# TYPE rillflow_database_schema_version gauge'"),
         (5, "'rillflow_database_schema_version 1'"),
-        (6, "'# HELP rillflow_database_schema_supported_version Layout version supported by this build.'"),
+        (6, "'# HELP rillflow_database_schema_supported_version Highest layout number this code can read.'"),
         (7, "'# TYPE rillflow_database_schema_supported_version gauge'"),
         (8, "'rillflow_database_schema_supported_version 1'"),
-        (9, "'# HELP rillflow_database_schema_current Whether the layout is current for this build.'"),
+        (9, "'# HELP rillflow_database_schema_current 1 if the tables have the layout this code writes, else 0.'"),
         (10, "'# TYPE rillflow_database_schema_current gauge'"),
         (11, "'rillflow_database_schema_current 1'"),
     ]
     first = " UNION ALL ".join(f"SELECT 0 AS section, '' AS key, {i} AS item, {x} AS line" for i, x in head)
     rest = family(0, 12, [
-        ("source_status", "Current persisted source health status.", "gauge"),
-        ("source_consecutive_failures", "Consecutive source failures.", "gauge"),
-        ("source_runs_total", "Persisted source run count.", "counter"),
-        ("source_events_total", "Persisted source event count.", "counter"),
+        ("source_status", "1 for the state a source is in.", "gauge"),
+        ("source_consecutive_failures", "Failed runs of a source since its last good one.", "gauge"),
+        ("source_runs_total", "Runs of a source on record.", "counter"),
+        ("source_events_total", "Events that the runs of a source brought.", "counter"),
     ])
     middle = family(2, 0, [
-        ("sink_enabled", "Whether a configured sink is enabled.", "gauge"),
-        ("deliveries", "Delivery rows by sink and status.", "gauge"),
-        ("delivery_attempts_total", "Persisted delivery attempt count.", "counter"),
+        ("sink_enabled", "1 while a sink takes events, else 0.", "gauge"),
+        ("deliveries", "Rows of the delivery table, by sink and state.", "gauge"),
+        ("delivery_attempts_total", "Sends tried for a sink on record.", "counter"),
     ])
     src = [
         "'rillflow_source_status{source=\"' || source_key || '\",status=\"' || status || '\"} 1'",
@@ -476,11 +476,11 @@ QUERIES = {
     ),
     "attention_list": (
         attention,
-        with_parts("health deliveries", """SELECT 1 AS position, 'Schema mismatch' AS title,
-          'Table layout is migration_required. Verify before continuing operations.' AS detail, 'danger' AS level
-          UNION ALL SELECT * FROM (SELECT 2, source_key, coalesce(last_error, 'Source status is ' || status || '.'), 'warning'
+        with_parts("health deliveries", """SELECT 1 AS position, 'Table layout' AS title,
+          'The tables are migration_required; check them before the next run' AS detail, 'danger' AS level
+          UNION ALL SELECT * FROM (SELECT 2, source_key, coalesce(last_error, 'Last seen as ' || status || '.'), 'warning'
             FROM health WHERE status <> 'healthy' ORDER BY source_key LIMIT 3)
-          UNION ALL SELECT 3, 'Delivery backlog', n || ' failed or dead rows need review.', 'danger'
+          UNION ALL SELECT 3, 'Undelivered events', n || ' deliveries failed or were given up', 'danger'
             FROM (SELECT count(*) AS n FROM deliveries WHERE status IN ('failed', 'dead')) WHERE n > 0"""),
     ),
     "collection_summary": (

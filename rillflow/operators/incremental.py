@@ -22,11 +22,11 @@ REFRESH = 10
 MAX_PAGES = 100
 SEARCH_DEPTH = 1000
 ANCHOR_MOVED = (
-    "feed changed during pagination; restarted from the beginning to avoid skipped entries"
+    "the entry before the stored offset is not the one seen last; reading from the first entry again"
 )
-OFFSET_BEYOND = "cursor offset exceeded the current feed; restarted from the beginning"
-ZERO_ITEMS = "collector reported has_more with zero primary items; stopped"
-STUCK = "collector cursor did not advance; stopped to prevent pagination loop"
+OFFSET_BEYOND = "the stored offset lies past the last entry; reading from the first entry again"
+ZERO_ITEMS = "a page without items announced another one; the run ends here"
+STUCK = "the page left the cursor where it was; the run ends here"
 
 
 def _by_pos() -> list[Column]:

@@ -10,6 +10,7 @@ from rillflow.functions.text import strip
 
 # Page bounds and the length of a content preview.
 MAX_LIMIT = 200
+MAX_OFFSET = 1_000_000
 DEFAULT_LIMIT = 30
 PREVIEW = 600
 SEARCHED = ("title", "content", "author", "url")
@@ -62,16 +63,17 @@ def search(
 ) -> tuple[DataFrame, DataFrame]:
     """One page, and its totals ``(total, limit, offset, has_more)``.
 
-    The page keeps the first ``offset + limit`` rows per task and merges those; the totals read only
-    the searched columns.
+    The order is found on ids and times; only the rows of the page are then read whole. The totals read
+    only the searched columns. A limit or offset out of bounds is an error.
     """
-    limit, offset = max(1, min(MAX_LIMIT, limit)), max(0, offset)
+    if not 1 <= limit <= MAX_LIMIT:
+        raise ValueError(f"limit {limit} is not between 1 and {MAX_LIMIT}")
+    if not 0 <= offset <= MAX_OFFSET:
+        raise ValueError(f"offset {offset} is not between 0 and {MAX_OFFSET}")
     rows = filtered(signals, query, source, kind)
-    page = (
-        rows.orderBy(F.desc("collected_at"), F.desc("created_at"), F.desc("id"))
-        .offset(offset)
-        .limit(limit)
-    )
+    newest = [F.desc("collected_at"), F.desc("created_at"), F.desc("id")]
+    ids = rows.select("id", "collected_at", "created_at").orderBy(*newest).offset(offset).limit(limit)
+    page = rows.join(ids.select("id"), "id", "left_semi").orderBy(*newest).limit(limit)
     total = F.count("*")
     totals = rows.agg(total.alias("total")).select(
         "total",
@@ -179,19 +181,19 @@ def attention(
         .select(
             F.lit(2).alias("position"),
             F.col("source_key").alias("title"),
-            F.coalesce("last_error", F.concat(F.lit("Source status is "), "status", F.lit("."))).alias("detail"),
+            F.coalesce("last_error", F.concat(F.lit("Last seen as "), "status", F.lit("."))).alias("detail"),
             cls.alias("level"),
         )
     )
     total = sink_snapshot.agg(F.coalesce(F.sum(F.col("failed") + F.col("dead")), F.lit(0)).alias("n"))
     layout = total.select(
-        F.lit(1).alias("position"), F.lit("Schema mismatch").alias("title"),
-        F.lit(f"Table layout is {schema_status}. Verify before continuing operations.").alias("detail"),
+        F.lit(1).alias("position"), F.lit("Table layout").alias("title"),
+        F.lit(f"The tables are {schema_status}; check them before the next run").alias("detail"),
         F.lit("danger").alias("level"),
     ).filter(F.lit(schema_status != "current"))
     backlog = total.filter("n > 0").select(
-        F.lit(3).alias("position"), F.lit("Delivery backlog").alias("title"),
-        F.concat(F.col("n").cast("string"), F.lit(" failed or dead rows need review.")).alias("detail"),
+        F.lit(3).alias("position"), F.lit("Undelivered events").alias("title"),
+        F.concat(F.col("n").cast("string"), F.lit(" deliveries failed or were given up")).alias("detail"),
         F.lit("danger").alias("level"),
     )
     return layout.unionByName(sources).unionByName(backlog)

@@ -21,9 +21,10 @@ def to_event_json(signals: DataFrame) -> DataFrame:
     return signals.select("id", event_json().alias("event"))
 
 
-def write_console(signals: DataFrame, rows: int = 20) -> None:
-    """Print the first rows, one JSON object per line."""
-    to_event_json(signals).select("event").show(rows, truncate=False)
+def write_console(signals: DataFrame) -> None:
+    """Print every event, one JSON object per line; the driver holds one partition at a time."""
+    for row in to_event_json(signals).select("event").toLocalIterator():
+        print(row["event"])
 
 
 def write_jsonl(signals: DataFrame, path: str, batch_id: int | None = None) -> None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,23 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def create_path(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if there is one. The file system decides between two who try."""
+    target, fs = _hadoop_path(spark, path)
+    fs.mkdirs(target.getParent())
+    try:
+        fs.create(target, False).close()
+    except Py4JJavaError as error:
+        if fs.exists(target):
+            return False
+        raise error
+    return True
+
+
+class Conflict(RuntimeError):
+    """Another batch was committed after the state that a batch was derived from."""
+
+
 def check_version(version: int) -> None:
     """Refuse tables of a layout newer than this code, before anything is written."""
     if version > LAYOUT_VERSION:
@@ -53,10 +71,10 @@ def check_version(version: int) -> None:
 
 
 class Store:
-    """A folder of tables with one committer and any number of readers.
+    """A folder of tables with any number of committers and readers.
 
-    Every commit gets the next ``version``; of two rows of a key the one with the higher version wins,
-    then the one with the higher ``order`` columns.
+    Every commit claims the next free ``version`` by creating a file of that name, so no two share one; of
+    two rows of a key the one with the higher version wins, then the one with the higher ``order`` columns.
     """
 
     def __init__(self, spark: SparkSession, root: str, version: int = LAYOUT_VERSION) -> None:
@@ -76,8 +94,18 @@ class Store:
         """What :meth:`write` stored, committed or not: the rest of a batch is derived from it."""
         return self.spark.read.schema(schema).parquet(self.path(table, stream_id, batch_id))
 
-    def commit(self, stream_id: str, batch_id: int, frames: Mapping[str, DataFrame] | None = None) -> int:
-        """Write the frames, if any, then make the whole batch visible; returns its version."""
+    def version(self) -> int:
+        """The newest committed version; 0 before the first."""
+        return self.commits().agg(F.coalesce(F.max("version"), F.lit(0)).cast("bigint")).head()[0]
+
+    def commit(
+        self, stream_id: str, batch_id: int, frames: Mapping[str, DataFrame] | None = None, after: int | None = None
+    ) -> int:
+        """Write the frames, if any, then make the whole batch visible; returns its version.
+
+        ``after`` is the version the batch was derived from: where another batch has claimed one since,
+        nothing is committed and :class:`Conflict` is raised.
+        """
         for table, frame in (frames or {}).items():
             self.write(table, stream_id, batch_id, frame)
         done = self.commits().filter(
@@ -85,7 +113,11 @@ class Store:
         ).head(1)
         if done:
             return done[0]["version"]
-        version = self.commits().agg(F.coalesce(F.max("version"), F.lit(0)) + 1).head()[0]
+        version = (self.version() if after is None else after) + 1
+        while not create_path(self.spark, f"{self.path('claims')}/version={version}"):
+            if after is not None:
+                raise Conflict(f"version {version} is taken")
+            version += 1
         row = self.spark.range(1).select(
             F.lit(stream_id).alias("stream_id"), F.lit(batch_id).cast("bigint").alias("batch_id"),
             F.lit(version).cast("bigint").alias("version"), F.current_timestamp().alias("committed_at"),

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark keeps only k rows per key and task before the shuffle while k stays at or below this.
-GROUP_LIMIT = 1000
+# Spark keeps only k rows per key and task before the shuffle while k stays at or below this setting.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Tasks that share a key where k is larger; each keeps k rows of it.
 SALTS = 64
 
 
@@ -26,7 +27,7 @@ def top_per_key(
     applied twice: within salted slices of each key, then to what the slices kept.
     """
     whole = Window.partitionBy(*keys).orderBy(*order)
-    if isinstance(k, int) and k <= GROUP_LIMIT:
+    if isinstance(k, int) and k <= int(df.sparkSession.conf.get(GROUP_LIMIT)):
         return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
     limit = F.lit(k) if isinstance(k, int) else k
     slot = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not _opaque(df, c)]), F.lit(salts))

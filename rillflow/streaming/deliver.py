@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.operators import delivery, outbox, sinks
-from rillflow.operators.store import Store
+from rillflow.operators.store import Conflict, Store
 from rillflow.schemas import DELIVERIES, columns
 
 _READY = columns(
-    "sink_key string, event_id string, prior_attempts int, event_hash string"
+    "sink_key string, event_id string, prior_attempts int, queued_at timestamp, sent_hash string, "
+    "headers map, body string",
+    headers=T.MapType(T.StringType(), T.StringType()),
 )
 _SENT = columns(
     "event_id string, sent_hash string, status int, retry_after_text string, failure string"
 )
 
+# How often a pass is derived anew when other batches are committed meanwhile, and the seconds between.
+TRIES, PAUSE = 20, 0.5
+
 _OUTCOMES = T.StructType([*DELIVERIES.fields, T.StructField("result", T.StringType())])
 
 
@@ -40,9 +47,12 @@ class Delivery:
     def run_pass(self, pass_id: int, now=None) -> DataFrame:
         """Send one batch and commit the outcomes; returns the pass summary.
 
-        What is due and what the receiver answered are written before they are used, so one pass works
-        on one set of versions. A committed pass is not sent again; one that failed before its commit
-        is, and the idempotency keys let the receiver tell.
+        Rows, events and requests are read in one go and written before anything is sent, so a pass sends the
+        versions it has read, and an event is gone only if it was gone then. A row that was queued again
+        meanwhile is left as it is now (``superseded``). The outcomes are committed only if no other batch was
+        committed since the state they were compared with; else they are derived again, without sending.
+        A committed pass is not sent again; one that failed before its commit is, and the idempotency keys
+        let the receiver tell.
         """
         store, sid = self.store, self.stream_id
         if store.is_committed(sid, pass_id):
@@ -51,28 +61,49 @@ class Delivery:
         mine = store.current("deliveries").filter(F.col("sink_key") == self.sink)
         rows = delivery.ready(mine, at, self.limit)
         asked = rows.select(F.col("event_id").alias("id"))
-        hashes = store.current("signals", ["seq"], names=["event_hash"], only=asked)
-        due = delivery.match_events(rows, hashes).select(
-            "sink_key", "event_id", F.col("attempts").alias("prior_attempts"), "event_hash"
-        )
-        store.write("ready", sid, pass_id, due)
+        requests = sinks.webhook_requests(store.current("signals", ["seq"], only=asked), self.sink, self.token)
+        due = rows.select(
+            "sink_key", "event_id", F.col("attempts").alias("prior_attempts"), F.col("updated_at").alias("queued_at")
+        ).join(requests, "event_id", "left")
+        store.write("ready", sid, pass_id, due.select(*_READY.fieldNames()))
         due = store.read_batch("ready", _READY, sid, pass_id)
-        chosen = due.select(F.col("event_id").alias("id"), "event_hash")
-        events = store.current("signals", ["seq"], only=chosen).join(chosen, ["id", "event_hash"], "left_semi")
-        answers = sinks.send_requests(sinks.webhook_requests(events, self.sink, self.token), self.url, self.send)
+        answers = sinks.send_requests(due.filter("body IS NOT NULL"), self.url, self.send)
         store.write("responses", sid, pass_id, answers)
-        sent = sinks.classify_responses(store.read_batch("responses", _SENT, sid, pass_id))
+        for attempt in range(TRIES):
+            seen = store.version()
+            self._outcomes(due, pass_id, at)
+            done = store.read_batch("outcomes", _OUTCOMES, sid, pass_id)
+            store.write("deliveries", sid, pass_id, done.filter(F.col("result") != "superseded").select(*outbox.COLUMNS))
+            try:
+                # A committer that died with its claim would block for ever: the last try takes the next free version.
+                store.commit(sid, pass_id, after=seen if attempt < TRIES - 1 else None)
+                break
+            except Conflict:
+                time.sleep(PAUSE)
+        return delivery.pass_summary(done)
+
+    def _outcomes(self, due: DataFrame, pass_id: int, at) -> None:
+        """What the answers do to the delivery rows as they are now."""
+        store, sid = self.store, self.stream_id
+        sent = sinks.classify_responses(store.read_batch("responses", _SENT, sid, pass_id)).drop("sent_hash")
         attempts = due.join(sent, "event_id", "left").select(
-            "sink_key", "event_id", F.coalesce("outcome", F.lit("missing")).alias("outcome"),
-            F.coalesce("sent_hash", "event_hash").alias("sent_hash"), "prior_attempts",
-            "retry_after", "error", at.alias("attempted_at"),
+            "sink_key", "event_id", F.coalesce("outcome", F.lit("missing")).alias("outcome"), "sent_hash",
+            "prior_attempts", "queued_at", "retry_after", "error", at.alias("attempted_at"),
         )
         touched = store.current("deliveries", only=due)
+        chosen = due.select(F.col("event_id").alias("id"))
         versions = store.current("signals", ["seq"], names=["event_hash"], only=chosen)
-        outcomes = delivery.apply_outcomes(touched, attempts, versions, self.max_attempts)
-        store.write("outcomes", sid, pass_id, outcomes)
-        done = store.read_batch("outcomes", _OUTCOMES, sid, pass_id)
-        # A superseded row was queued again meanwhile; writing it would hide the newer state.
-        store.write("deliveries", sid, pass_id, done.filter(F.col("result") != "superseded").select(*outbox.COLUMNS))
-        store.commit(sid, pass_id)
-        return delivery.pass_summary(done)
+        applied = delivery.apply_outcomes(touched, attempts, versions, self.max_attempts)
+        # A row queued again since it was read has another time; what was sent says nothing about it.
+        was = due.select("sink_key", "event_id", "queued_at")
+        now = touched.select("sink_key", "event_id", *[F.col(c).alias(f"now_{c}") for c in outbox.COLUMNS if c not in ("sink_key", "event_id")])
+        moved = ~F.col("queued_at").eqNullSafe(F.col("now_updated_at"))
+        out = applied.join(was, ["sink_key", "event_id"]).join(now, ["sink_key", "event_id"])
+        store.write(
+            "outcomes", sid, pass_id,
+            out.select(
+                "sink_key", "event_id",
+                *[F.when(moved, F.col(f"now_{c}")).otherwise(F.col(c)).alias(c) for c in outbox.COLUMNS if c not in ("sink_key", "event_id")],
+                F.when(moved, "superseded").otherwise(F.col("result")).alias("result"),
+            ).select(*_OUTCOMES.fieldNames()),
+        )

@@ -157,3 +157,104 @@ def test_future_layout_is_refused(spark, tmp_path):
         Store(spark, str(tmp_path), version=2)
     with pytest.raises(ValueError):
         upgrade_legacy(spark.range(1))
+
+
+@pytest.fixture
+def place(spark, tmp_path):
+    """A store with one sink, and a function that lands a body and ingests it."""
+    store = Store(spark, str(tmp_path / "store"))
+    ingest = Ingest(store, default_sources(), ["archive"])
+
+    def step(payload_id, body, status=200):
+        path = str(tmp_path / f"landing-{payload_id}")
+        land(spark, path, payload_id, body, status)
+        ingest.process(spark.read.schema(RAW_PAYLOADS).parquet(path), payload_id)
+
+    return store, step
+
+
+def test_checkpoint_moves_only_with_good_polls(place):
+    store, step = place
+    cursor = lambda: json.loads(store.current("checkpoints").collect()[0]["cursor_json"])["state"]["payload_id"]
+    error = lambda: store.current("checkpoints").collect()[0]["last_error"]
+    step(1, feed([item(1, "one")]))
+    assert (cursor(), error()) == (1, None)
+    step(2, "oops", status=500)
+    assert (cursor(), error()) == (1, "HTTP 500")
+    step(3, "", status=304)
+    assert (cursor(), error()) == (1, "HTTP 500")
+    step(4, "{broken")
+    assert cursor() == 1 and error() == "feed body is no JSON"
+    step(5, feed([item(1, "two")]))
+    assert (cursor(), error()) == (5, None)
+
+
+def test_undated_items_are_no_change(place):
+    store, step = place
+    undated = [{"id": "u", "content_text": "same", "url": "https://x/u"}]
+    step(1, feed(undated))
+    first = store.current("signals", ["seq"]).collect()[0]
+    step(2, feed(undated))
+    assert store.read_batch("changes", store.spark.read.parquet(store.path("changes", "ingest", 2)).schema, "ingest", 2).collect()[0]["change"] == "unchanged"
+    assert store.current("signals", ["seq"]).collect()[0]["created_at"] == first["created_at"]
+
+
+def test_comments_a_batch_after_their_issue(spark, place):
+    store, _ = place
+    ingest = Ingest(store, default_sources())
+    repo = "https://api.x/repos/r"
+    search = json.dumps({"items": [{"node_id": "N7", "number": 7, "title": "t", "repository_url": repo, "html_url": "https://x/7", "created_at": "2024-01-01T00:00:00Z"}]})
+    known, unknown = (
+        json.dumps([{"id": i, "body": f"c{i}", "created_at": "2024-01-02T00:00:00Z"} for i in ids]) for ids in (range(9), range(50, 53))
+    )
+    at = F.timestamp_seconds(F.lit(1_704_067_200))
+    for batch, (url, body) in enumerate([("https://api.x/search", search), (f"{repo}/issues/7/comments", known), (f"{repo}/issues/8/comments", unknown)]):
+        row = (batch, 0, "github", "github", "a", url, 200, {}, body, None, 1)
+        ingest.process(spark.createDataFrame([row], RAW_PAYLOADS).withColumn("fetched_at", at), batch)
+    rows = store.current("signals", ["seq"]).collect()
+    issue = next(r["id"] for r in rows if r["kind"] == "issue")
+    parents = [json.loads(r["metadata_json"])["parent_event_id"] for r in rows if r["kind"] == "comment"]
+    assert sorted(parents, key=str) == sorted([issue] * 9 + [None] * 3, key=str)
+
+
+def test_version_moved_while_a_pass_sends(spark, place):
+    """An event that changes after it was read stays pending; only an event that is absent is dead."""
+    store, step = place
+    step(1, feed([item(1, "one")]))
+    now = F.lit("2030-01-01 00:00:00").cast("timestamp")
+
+    class Racing(Delivery):
+        def _outcomes(self, due, pass_id, at):
+            if not moved:
+                moved.append(True)
+                step(2, feed([item(1, "two")]))
+            super()._outcomes(due, pass_id, at)
+
+    for answer in ((200, None, None), (500, None, None)):
+        moved = []
+        got = Racing(store, "archive", "https://sink", lambda *_: answer).run_pass(len(answer) + answer[0], now).collect()[0]
+        assert got["superseded" if answer[0] == 200 else "failed"] == 1
+        row = store.current("deliveries").collect()[0]
+        if answer[0] == 200:
+            assert (row["status"], row["attempts"]) == ("pending", 0)
+
+
+def test_two_committers_never_share_a_version(spark, tmp_path):
+    from rillflow.operators.store import Conflict, create_path
+
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.commit("a", 0) == 1
+    seen = store.version()
+    create_path(spark, f"{store.path('claims')}/version=2")  # another committer is about to commit
+    with pytest.raises(Conflict):
+        store.commit("b", 0, after=seen)
+    assert store.commit("b", 0) == 3 and store.commit("b", 0) == 3
+
+
+def test_console_prints_every_event(spark, place, capsys):
+    from rillflow.operators.sinks import write_console
+
+    store, step = place
+    step(1, feed([item(i, f"t{i}") for i in range(45)]))
+    write_console(store.current("signals", ["seq"]))
+    assert len({json.loads(x)["id"] for x in capsys.readouterr().out.splitlines()}) == 45
