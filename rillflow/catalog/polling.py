@@ -21,6 +21,16 @@ def _items(spark, sf) -> DataFrame:
     return v.poll_items(spark, sf)
 
 
+def _polls(spark, sf) -> DataFrame:
+    """Every poll of the items, a third of them with an entry at the end that is no item, and an empty one per source."""
+    items = _items(spark, sf)
+    some = items.groupBy("source_key", "poll_id").agg((F.max("pos") + 1).alias("n")).select(
+        "source_key", "poll_id", (F.col("n") + (F.col("poll_id") % 3 == 0).cast("int")).cast("bigint").alias("page_items")
+    )
+    none = items.select("source_key").distinct().select("source_key", F.lit(-1).cast(items.schema["poll_id"].dataType).alias("poll_id"), F.lit(0).cast("bigint").alias("page_items"))
+    return some.unionByName(none)
+
+
 def _seen(spark, sf) -> DataFrame:
     return v.seen_items(spark, sf)
 
@@ -52,7 +62,7 @@ def skip_seen(spark, sf):
 
 
 def skip_seen_pages(spark, sf):
-    return inc.skip_seen(_items(spark, sf), _seen(spark, sf), 5)[1]
+    return inc.skip_seen(_items(spark, sf), _seen(spark, sf), 5, _polls(spark, sf))[1]
 
 
 def until_known(spark, sf):
@@ -62,12 +72,12 @@ def until_known(spark, sf):
 
 def until_known_pages(spark, sf):
     seen = _seen(spark, sf)
-    return inc.take_until_known(_items(spark, sf), seen.filter("toxic = 1"), seen, 12)[1]
+    return inc.take_until_known(_items(spark, sf), seen.filter("toxic = 1"), seen, 12, _polls(spark, sf))[1]
 
 
 def until_known_page(spark, sf):
     seen = _seen(spark, sf)
-    return inc.take_until_known_page(_items(spark, sf), seen.filter("toxic = 1"), seen)[1]
+    return inc.take_until_known_page(_items(spark, sf), seen.filter("toxic = 1"), seen, _polls(spark, sf))[1]
 
 
 def take_new(spark, sf):
@@ -79,7 +89,7 @@ def take_new(spark, sf):
 def take_new_pages(spark, sf):
     seen = _seen(spark, sf)
     args = (_items(spark, sf), seen.filter("quality = 1"), seen.filter("toxic = 1"), _sources(spark, sf), 4)
-    return inc.take_new(*args)[1]
+    return inc.take_new(*args, _polls(spark, sf))[1]
 
 
 def _processed(spark, sf) -> DataFrame:
@@ -95,7 +105,7 @@ def merge_seen_continued(spark, sf):
 
 
 def anchors(spark, sf):
-    return inc.validate_anchor(_items(spark, sf), _cursors(spark, sf))
+    return inc.validate_anchor(_items(spark, sf), _cursors(spark, sf), _polls(spark, sf))
 
 
 def page_slices(spark, sf):
@@ -271,6 +281,9 @@ starts AS (SELECT source_key, poll_id, entries,
     NOT (coalesce(off, 0) > 0 AND coalesce(anchor, '') <> '') AND coalesce(off, 0) > entries AS beyond
   FROM sizes z LEFT JOIN cur c USING (source_key) LEFT JOIN hit h ON h.source_key = z.source_key AND h.poll_id = z.poll_id))"""
 
+_EVERY = """, every AS (SELECT source_key, poll_id, max(pos) + 1 + CASE WHEN poll_id % 3 = 0 THEN 1 ELSE 0 END AS page_items FROM polls GROUP BY 1, 2
+  UNION ALL SELECT DISTINCT source_key, -1, 0 FROM polls)"""
+
 _FRESH = """, fresh AS (SELECT *, row_number() OVER (PARTITION BY source_key, poll_id ORDER BY pos) AS rn FROM polls p
   WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.source_key = p.source_key AND s.external_id = p.external_id))"""
 
@@ -307,7 +320,8 @@ QUERIES = {
     "skip_seen": (skip_seen, with_parts("polls", f"{_FRESH} SELECT source_key, poll_id, pos, external_id FROM fresh WHERE rn <= 5")),
     "skip_seen_pages": (
         skip_seen_pages,
-        with_parts("polls", f"{_FRESH} SELECT source_key, poll_id, least(count(*), 5) AS primary_count, count(*) > 5 AS has_more FROM fresh GROUP BY 1, 2"),
+        with_parts("polls", f"""{_FRESH} {_EVERY} SELECT source_key, poll_id, least(coalesce(n, 0), 5) AS primary_count, coalesce(n, 0) > 5 AS has_more
+          FROM every LEFT JOIN (SELECT source_key, poll_id, count(*) AS n FROM fresh GROUP BY 1, 2) USING (source_key, poll_id)"""),
     ),
     "take_until_known": (
         until_known,
@@ -315,20 +329,26 @@ QUERIES = {
     ),
     "take_until_known_pages": (
         until_known_pages,
-        with_parts("polls", _UNTIL.format(where="WHERE rn <= 12") + """ SELECT source_key, poll_id, count(*) FILTER (WHERE first IS NULL OR pos < first) AS primary_count,
-          count(*) FILTER (WHERE (first IS NULL OR pos < first) AND NOT was_seen) AS emitted, bool_or(known) AS reached_known,
-          coalesce(max(first), max(pos)) + 1 AS next_offset FROM cut GROUP BY 1, 2"""),
+        with_parts("polls", _UNTIL.format(where="WHERE rn <= 12") + _EVERY + """ SELECT source_key, poll_id, coalesce(n, 0) AS primary_count,
+          coalesce(e, 0) AS emitted, coalesce(k, false) AS reached_known, CAST(coalesce(stop + 1, page_items) AS BIGINT) AS next_offset
+          FROM every LEFT JOIN (SELECT source_key, poll_id, count(*) FILTER (WHERE first IS NULL OR pos < first) AS n,
+            count(*) FILTER (WHERE (first IS NULL OR pos < first) AND NOT was_seen) AS e, bool_or(known) AS k,
+            coalesce(max(first), CASE WHEN count(*) = 12 THEN max(pos) END) AS stop FROM cut GROUP BY 1, 2) USING (source_key, poll_id)"""),
     ),
     "take_until_known_listing": (
         until_known_page,
-        with_parts("polls", _UNTIL.format(where="") + """ SELECT source_key, poll_id, count(*) FILTER (WHERE first IS NULL OR pos < first) AS primary_count,
-          count(*) FILTER (WHERE (first IS NULL OR pos < first) AND NOT was_seen) AS emitted, max(first) IS NOT NULL AS reached_known FROM cut GROUP BY 1, 2"""),
+        with_parts("polls", _UNTIL.format(where="") + _EVERY + """ SELECT source_key, poll_id, coalesce(n, 0) AS primary_count, coalesce(e, 0) AS emitted,
+          coalesce(k, false) AS reached_known FROM every LEFT JOIN (SELECT source_key, poll_id, count(*) FILTER (WHERE first IS NULL OR pos < first) AS n,
+            count(*) FILTER (WHERE (first IS NULL OR pos < first) AND NOT was_seen) AS e, max(first) IS NOT NULL AS k FROM cut GROUP BY 1, 2)
+          USING (source_key, poll_id)"""),
     ),
     "take_new": (take_new, with_parts("polls", _NEW + " SELECT source_key, poll_id, pos, external_id FROM cut WHERE rn <= 4 AND (first IS NULL OR rn < first)")),
     "take_new_pages": (
         take_new_pages,
-        with_parts("polls", _NEW + """ SELECT source_key, poll_id, count(*) FILTER (WHERE rn <= 4 AND (first IS NULL OR rn < first)) AS primary_count,
-          max(first) IS NOT NULL AS reached_known, max(first) IS NOT NULL OR max(rn) <= 4 AS fully_scanned FROM cut GROUP BY 1, 2"""),
+        with_parts("polls", _NEW + _EVERY + """ SELECT source_key, poll_id, coalesce(n, 0) AS primary_count, coalesce(k, false) AS reached_known,
+          coalesce(w, true) AS fully_scanned FROM every LEFT JOIN (SELECT source_key, poll_id,
+            count(*) FILTER (WHERE rn <= 4 AND (first IS NULL OR rn < first)) AS n, max(first) IS NOT NULL AS k,
+            max(first) IS NOT NULL OR max(rn) <= 4 AS w FROM cut GROUP BY 1, 2) USING (source_key, poll_id)"""),
     ),
     "merge_seen": (
         merge_seen,
@@ -343,7 +363,7 @@ QUERIES = {
     ),
     "anchor_check": (
         anchors,
-        with_parts("polls", _ANCHOR + f""" SELECT source_key, poll_id, entries, start, CASE WHEN moved THEN '{inc.ANCHOR_MOVED}'
+        with_parts("polls", _ANCHOR.replace("GROUP BY 1, 2),\nhit", "GROUP BY 1, 2 UNION ALL SELECT DISTINCT source_key, -1, 0 FROM polls),\nhit") + f""" SELECT source_key, poll_id, entries, start, CASE WHEN moved THEN '{inc.ANCHOR_MOVED}'
           WHEN beyond THEN '{inc.OFFSET_BEYOND}' END AS warning FROM starts"""),
     ),
     "page_slices": (

@@ -2,7 +2,9 @@
 
 An item row has ``source_key``, ``poll_id`` (unique per source), ``pos`` (0-based place in the poll)
 and ``external_id``. A seen row has ``source_key``, ``external_id`` and ``rank`` (1 is the newest).
-Selections return the chosen items and one row per poll.
+Selections return the chosen items and one row per poll. ``polls(source_key, poll_id, page_items)`` names every
+poll with the number of entries it had, usable or not, so that polls without a new or any item have a row too;
+without it the polls are those that occur in the items.
 """
 
 from __future__ import annotations
@@ -39,29 +41,36 @@ def _flag(items: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return items.join(marks, ITEM, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def skip_seen(items: DataFrame, seen: DataFrame, limit: int | Column) -> tuple[DataFrame, DataFrame]:
+def _every(items: DataFrame, polls: DataFrame | None) -> DataFrame:
+    if polls is not None:
+        return polls.select(*POLL, F.col("page_items").cast("bigint").alias("page_items"))
+    return items.groupBy(*POLL).agg((F.max("pos") + 1).cast("bigint").alias("page_items"))
+
+
+def skip_seen(
+    items: DataFrame, seen: DataFrame, limit: int | Column, polls: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Drop seen ids, keep the first ``limit`` of the rest in order."""
     fresh = items.join(seen.select(*ITEM).distinct(), ITEM, "left_anti")
     chosen = top_per_key(fresh, POLL, _by_pos(), limit)
-    cap = F.lit(limit) if isinstance(limit, int) else limit
-    pages = (
-        fresh.groupBy(*POLL)
-        .agg(F.count("*").alias("candidates"), *([] if isinstance(limit, int) else [F.max(limit).alias("_l")]))
-        .withColumn("_l", cap if isinstance(limit, int) else F.col("_l"))
-        .select(
-            *POLL,
-            F.least("candidates", F.col("_l").cast("bigint")).alias("primary_count"),
-            (F.col("candidates") > F.col("_l")).alias("has_more"),
-        )
+    cap = F.lit(limit) if isinstance(limit, int) else F.max(limit)
+    counts = fresh.groupBy(*POLL).agg(F.count("*").alias("_n"), F.max(cap).alias("_l") if isinstance(limit, int) else cap.alias("_l"))
+    pages = _every(items, polls).join(counts, POLL, "left").select(
+        *POLL,
+        F.coalesce(F.least("_n", F.col("_l").cast("bigint")), F.lit(0)).alias("primary_count"),
+        F.coalesce(F.col("_n") > F.col("_l"), F.lit(False)).alias("has_more"),
     )
     return chosen, pages
 
 
 def take_until_known(
-    items: DataFrame, watermark: DataFrame, seen: DataFrame, limit: int
+    items: DataFrame, watermark: DataFrame, seen: DataFrame, limit: int, polls: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Items in order up to the first watermark id; earlier seen ids count but are not emitted.
 
+    The next offset is behind the item that ended the scan; where neither the watermark nor the limit ended it, the
+    whole page is read, entries that are no items included.
+
     Nothing past the first ``limit`` items of a poll can matter, so only those are looked up, and the
     window over a poll holds at most ``limit`` rows.
     """
@@ -71,17 +80,20 @@ def take_until_known(
     cut = flagged.withColumn("_first", F.min(F.when(F.col("_known"), F.col("pos"))).over(whole))
     passed = F.col("_first").isNull() | (F.col("pos") < F.col("_first"))
     chosen = cut.filter(passed & ~F.col("_seen")).drop("_known", "_seen", "_first", "rank")
-    pages = cut.groupBy(*POLL).agg(
-        F.count_if(passed).alias("primary_count"),
-        F.count_if(passed & ~F.col("_seen")).alias("emitted"),
-        F.bool_or("_known").alias("reached_known"),
-        F.coalesce(F.max("_first"), F.max("pos")).alias("last_pos"),
-    ).withColumn("next_offset", F.col("last_pos") + 1).drop("last_pos")
+    counts = cut.groupBy(*POLL).agg(
+        F.count_if(passed).alias("_n"), F.count_if(passed & ~F.col("_seen")).alias("_emitted"), F.bool_or("_known").alias("_hit"),
+        F.when(F.bool_or("_known"), F.max("_first")).when(F.count("*") >= limit, F.max("pos")).alias("_last"),
+    )
+    pages = _every(items, polls).join(counts, POLL, "left").select(
+        *POLL, F.coalesce("_n", F.lit(0)).alias("primary_count"), F.coalesce("_emitted", F.lit(0)).alias("emitted"),
+        F.coalesce("_hit", F.lit(False)).alias("reached_known"),
+        F.coalesce((F.col("_last") + 1).cast("bigint"), F.col("page_items")).alias("next_offset"),
+    )
     return chosen, pages
 
 
 def take_until_known_page(
-    items: DataFrame, watermark: DataFrame, seen: DataFrame
+    items: DataFrame, watermark: DataFrame, seen: DataFrame, polls: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The same for listings, whose request already bounded the page: no limit inside the poll."""
     known = items.join(watermark.select(*ITEM).distinct(), ITEM, "left_semi")
@@ -89,16 +101,18 @@ def take_until_known_page(
     cut = _flag(items.join(first, POLL, "left"), seen, "_seen")
     passed = F.col("_first").isNull() | (F.col("pos") < F.col("_first"))
     chosen = cut.filter(passed & ~F.col("_seen")).drop("_first", "_seen")
-    pages = cut.groupBy(*POLL).agg(
-        F.count_if(passed).alias("primary_count"),
-        F.count_if(passed & ~F.col("_seen")).alias("emitted"),
-        F.max("_first").isNotNull().alias("reached_known"),
+    counts = cut.groupBy(*POLL).agg(
+        F.count_if(passed).alias("_n"), F.count_if(passed & ~F.col("_seen")).alias("_emitted"), F.max("_first").isNotNull().alias("_hit")
+    )
+    pages = _every(items, polls).join(counts, POLL, "left").select(
+        *POLL, F.coalesce("_n", F.lit(0)).alias("primary_count"), F.coalesce("_emitted", F.lit(0)).alias("emitted"),
+        F.coalesce("_hit", F.lit(False)).alias("reached_known"),
     )
     return chosen, pages
 
 
 def take_new(
-    items: DataFrame, seen: DataFrame, cycle: DataFrame, sources: DataFrame, limit: int
+    items: DataFrame, seen: DataFrame, cycle: DataFrame, sources: DataFrame, limit: int, polls: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Mapped endpoints: the stop rule holds only for initialised sources.
 
@@ -117,10 +131,13 @@ def take_new(
     )
     emitted = (F.col("rank") <= limit) & (F.col("_first").isNull() | (F.col("rank") < F.col("_first")))
     chosen = cut.filter(emitted).drop("_seen", "_init", "_known", "_first", "rank")
-    pages = cut.groupBy(*POLL).agg(
-        F.count_if(emitted).alias("primary_count"),
-        F.max("_first").isNotNull().alias("reached_known"),
-        (F.max("_first").isNotNull() | (F.max("rank") <= limit)).alias("fully_scanned"),
+    counts = cut.groupBy(*POLL).agg(
+        F.count_if(emitted).alias("_n"), F.max("_first").isNotNull().alias("_hit"),
+        (F.max("_first").isNotNull() | (F.max("rank") <= limit)).alias("_whole"),
+    )
+    pages = _every(items, polls).join(counts, POLL, "left").select(
+        *POLL, F.coalesce("_n", F.lit(0)).alias("primary_count"), F.coalesce("_hit", F.lit(False)).alias("reached_known"),
+        F.coalesce("_whole", F.lit(True)).alias("fully_scanned"),
     )
     return chosen, pages
 
@@ -147,7 +164,7 @@ def merge_seen_lists(prior: Column, processed: Column, window: int, prepend: boo
     return F.slice(F.array_distinct(joined), 1, window)
 
 
-def validate_anchor(items: DataFrame, cursors: DataFrame) -> DataFrame:
+def validate_anchor(items: DataFrame, cursors: DataFrame, polls: DataFrame | None = None) -> DataFrame:
     """The offset each poll really starts from, with a warning where it restarts.
 
     ``cursors(source_key, offset, page_anchor)``. The anchor is the last entry of the page before; if
@@ -158,6 +175,8 @@ def validate_anchor(items: DataFrame, cursors: DataFrame) -> DataFrame:
     )
     at = items.join(anchors, ITEM).groupBy(*POLL).agg(F.min("pos").alias("anchor_pos"))
     sizes = items.groupBy(*POLL).agg(F.count("*").alias("entries"))
+    if polls is not None:
+        sizes = polls.select(*POLL).join(sizes, POLL, "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
     state = (
         sizes.join(cursors.select("source_key", "offset", "page_anchor"), "source_key", "left")
         .join(at, POLL, "left")
