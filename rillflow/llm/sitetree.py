@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import texts_of
+from rillflow.llm.common import saved, texts_of
 
 # Element names and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -293,7 +293,8 @@ def main_texts(
         F.sum(F.when(F.col("kind") == BLOCK, 1).otherwise(0)).alias("blocks"),
         F.sum(F.when(F.col("kind") == BLOCK, log_n).otherwise(0.0)).alias("block_logs"),
     ).where("pages is not null")
-    low = nodes.groupBy("host").applyInArrow(_low(limit, damping, least_pages), "host string, low array<long>")
+    # Written out, its size is known: a short list joins without moving the pages.
+    low = saved(nodes.groupBy("host").applyInArrow(_low(limit, damping, least_pages), "host string, low array<long>"))
     mark = F.instr("url", "://")
     rest = F.when(mark > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     host = F.translate(F.regexp_extract(F.coalesce(rest, F.lit("")), "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
