@@ -127,8 +127,8 @@ def judged(
 
     Rows: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words (words in
     removed lines), base_failed, kept. A document fails the base rules with fewer than ``least_words`` words or
-    with more than half of them in repeated windows of three; it is depleted when removal leaves fewer than
-    ``least_words`` words or less than ``least_kept_share`` of them. Null texts have no words, a null host is
+    with more than half of them in repeated windows of three; it is depleted when removal leaves less
+    than ``least_kept_share`` of its words. Null texts have no words, a null host is
     the nameless one, null ids stay null. Repeated rows are judged alike. An empty table gives no rows.
     """
     stats, frequent = _prepared(docs, id_col, text_col, host_col, max_share, least_docs)
@@ -138,7 +138,7 @@ def judged(
     left = F.col("n_words") - F.col("lost_words")
     out = stats.drop("lines", "text_a", "text_b").join(lost, "row", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)))
     out = out.withColumn("base_failed", base).withColumn(
-        "kept", ~base & ((F.col("lost_words") == 0) | ((left >= least_words) & (left >= least_kept_share * F.col("n_words")))),
+        "kept", ~base & ((left >= least_kept_share * F.col("n_words"))),
     )
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept",
@@ -171,7 +171,7 @@ def filtered(
                 if gone:
                     lines = [(line, line_key(line)) for line in text.split(b"\n")]
                     lost = sum(k[1] for _, k in lines if k and k[0] in gone)
-                    if lost and (n - lost < least_words or n - lost < least_kept_share * n):
+                    if n - lost < least_kept_share * n:
                         continue
                     if lost:
                         changed[i] = b"\n".join(x for x, k in lines if not (k and k[0] in gone)).decode()
