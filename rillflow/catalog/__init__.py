@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("flagship", "writing", "running", "asking", "normalising", "polling", "checking")
+MODULES = ("flagship", "writing", "running", "asking", "normalising", "polling", "checking", "flowing")
 
 
 def catalog() -> dict[str, tuple[Query, str | None]]:

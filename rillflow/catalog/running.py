@@ -309,6 +309,10 @@ QUERIES = {
           count(*) FILTER (WHERE result = 'superseded') AS superseded FROM outcomes WHERE result IS NOT NULL GROUP BY 1"""),
     ),
     "delivery_fold": (lambda s, d: _view(folded(s, d)), with_parts("deliveries", f"SELECT {_VIEW} FROM deliveries")),
+    "delivery_lookup": (
+        lambda s, d: _view(dl.get_delivery(folded(s, d), "sink-A", "order-1")),
+        with_parts("deliveries", f"SELECT {_VIEW} FROM deliveries WHERE sink_key = 'sink-A' AND event_id = 'order-1'"),
+    ),
     "dead_replay": (
         replayed,
         with_parts("pass", f"""SELECT sink_key, event_id, CASE WHEN status = 'dead' THEN 'pending' ELSE status END AS status,

@@ -143,9 +143,10 @@ def take_new(
 
 
 def merge_seen(
-    prior: DataFrame, processed: DataFrame, window: int = SEEN_WINDOW, prepend: bool = True
+    prior: DataFrame, processed: DataFrame, window: int = SEEN_WINDOW, prepend: bool = True, floor: int = SEEN_FLOOR
 ) -> DataFrame:
-    """The remembered ids after a page: each once, the first ``window`` of the joined order.
+    """The remembered ids after a page: each once, the first ``window`` of the joined order, ``floor`` at least
+    (``MAPPED_FLOOR`` for mapped endpoints).
 
     A new cycle puts its ids in front, a continued page puts them at the end.
     """
@@ -154,14 +155,14 @@ def merge_seen(
         prior.select(*ITEM, F.struct(F.lit(back).alias("g"), F.col("rank").cast("long").alias("p")).alias("o"))
     )
     once = both.groupBy(*ITEM).agg(F.min("o").alias("o"))
-    kept = top_per_key(once, ["source_key"], [F.col("o"), F.col("external_id")], window)
+    kept = top_per_key(once, ["source_key"], [F.col("o"), F.col("external_id")], max(window, floor))
     return kept.select(*ITEM, "rank")
 
 
-def merge_seen_lists(prior: Column, processed: Column, window: int, prepend: bool = True) -> Column:
+def merge_seen_lists(prior: Column, processed: Column, window: int, prepend: bool = True, floor: int = SEEN_FLOOR) -> Column:
     """The same on arrays, for cursor state."""
     joined = F.concat(processed, prior) if prepend else F.concat(prior, processed)
-    return F.slice(F.array_distinct(joined), 1, window)
+    return F.slice(F.array_distinct(joined), 1, max(window, floor))
 
 
 def validate_anchor(items: DataFrame, cursors: DataFrame, polls: DataFrame | None = None) -> DataFrame:

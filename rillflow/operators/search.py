@@ -174,7 +174,7 @@ def banner(
 def attention(
     health: DataFrame, sink_snapshot: DataFrame, schema_status: str = "current"
 ) -> DataFrame:
-    """Open issues in order: layout, the first three unhealthy sources, delivery backlog."""
+    """Open issues in order: layout, the first three unhealthy sources, delivery backlog; one row that says so if none."""
     cls = health_class(F.col("status"))
     sources = (
         health.filter(cls != "healthy").orderBy("source_key").limit(3)
@@ -196,4 +196,9 @@ def attention(
         F.concat(F.col("n").cast("string"), F.lit(" deliveries failed or were given up")).alias("detail"),
         F.lit("danger").alias("level"),
     )
-    return layout.unionByName(sources).unionByName(backlog)
+    issues = layout.unionByName(sources).unionByName(backlog)
+    none = issues.agg(F.count("*").alias("n")).filter("n = 0").select(
+        F.lit(0).alias("position"), F.lit("Nothing open").alias("title"),
+        F.lit("Tables, sources and deliveries are as they should be").alias("detail"), F.lit("healthy").alias("level"),
+    )
+    return issues.unionByName(none)

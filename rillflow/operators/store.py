@@ -215,6 +215,8 @@ def export_snapshot(
     if path_exists(spark, dest) and not overwrite:
         raise FileExistsError(dest)
     staging = f"{dest.rstrip('/')}.staging"
+    # What a crashed export left must not be published with this one.
+    delete_path(spark, staging)
     report = []
     for name, df in tables.items():
         target = f"{staging}/{name}"

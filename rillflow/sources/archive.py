@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.functions import fingerprint, parse_iso
+from rillflow.functions import fingerprint, is_object, parse_iso
 from rillflow.schemas import EVENT_SCHEMA_VERSION, SIGNAL_COLUMNS
 
 _FIELDS = (
@@ -15,7 +15,7 @@ _FIELDS = (
 
 
 def signals_from_json(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Event objects with the defaults for what older writers left out."""
+    """Event objects with the defaults for what older writers left out; without a collection time, the creation time."""
     read = lines.select(F.try_parse_json(column).alias("v"))
     named = read.select(
         *[F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in _FIELDS],
@@ -32,14 +32,28 @@ def signals_from_json(lines: DataFrame, column: str = "value") -> DataFrame:
         "author", "url",
         parse_iso(F.col("created_at")).alias("created_at"),
         parse_iso(F.col("updated_at")).alias("updated_at"),
-        F.coalesce(parse_iso(F.col("collected_at")), F.current_timestamp()).alias("collected_at"),
+        F.coalesce(parse_iso(F.col("collected_at")), parse_iso(F.col("created_at"))).alias("collected_at"),
         F.coalesce("metadata_json", F.lit("{}")).alias("metadata_json"),
     )
     return filled.withColumn("event_hash", fingerprint()).select(*SIGNAL_COLUMNS)
 
 
-def read_signals_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    return signals_from_json(spark.read.text(path))
+def parse_archive(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Signals of the good lines, and ``(line, message)`` of those that hold no event; blank lines hold nothing."""
+    v = F.try_parse_json(column)
+    ident = F.coalesce(F.trim(F.try_variant_get(v, "$.id", "string")), F.lit(""))
+    flaw = (
+        F.when(v.isNull(), "the line is no JSON").when(~is_object(v), "the line is JSON but no object")
+        .when(ident == "", "the event has no id")
+    )
+    checked = lines.filter(F.trim(column) != "").withColumn("_flaw", flaw)
+    problems = checked.filter("_flaw IS NOT NULL").select(F.col(column).alias("line"), F.col("_flaw").alias("message"))
+    return signals_from_json(checked.filter("_flaw IS NULL").select(column), column), problems
+
+
+def read_signals_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Signals of a folder of JSON lines, and the lines that are none."""
+    return parse_archive(spark.read.text(path))
 
 
 def get_signals(signals: DataFrame, ids: DataFrame) -> DataFrame:

@@ -146,3 +146,31 @@ def test_no_forbidden_plan_nodes(spark, sf_dir):
     for name in ("ingest_and_report", "overview", "enqueue_documents", "classify_mutations", "source_health", "take_new"):
         plan = catalog()[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_archive_lines_that_are_no_events(spark):
+    from rillflow.sources.archive import parse_archive
+
+    good = '{"id":"a","source":"s","kind":"post","url":"u","created_at":"2024-01-01T00:00:00Z"}'
+    lines = spark.createDataFrame([(x,) for x in (good, "", "{broken", "[1]", '{"id":" "}')], "value string")
+    signals, problems = parse_archive(lines)
+    row = signals.collect()[0]
+    assert signals.count() == 1 and row["id"] == "a" and row["collected_at"] == row["created_at"]
+    assert sorted(r["message"] for r in problems.collect()) == ["the event has no id", "the line is JSON but no object", "the line is no JSON"]
+
+
+def test_nothing_open(spark):
+    from rillflow.operators.search import attention
+
+    health = spark.createDataFrame([("a", "healthy", None)], "source_key string, status string, last_error string")
+    sinks = spark.createDataFrame([(0, 0)], "failed bigint, dead bigint")
+    assert [r["title"] for r in attention(health, sinks).collect()] == ["Nothing open"]
+    assert attention(health, sinks, "migration_required").count() == 1
+
+
+def test_seen_window_has_a_floor(spark):
+    from rillflow.operators.incremental import merge_seen
+
+    prior = spark.createDataFrame([("s", f"p{i}", i) for i in range(80)], "source_key string, external_id string, rank bigint")
+    new = spark.createDataFrame([("s", "n", 0)], "source_key string, external_id string, pos bigint")
+    assert merge_seen(prior, new, 10).count() == 50
