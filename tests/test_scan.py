@@ -192,3 +192,18 @@ def test_windows_are_not_over_whole_keys(spark):
     df = spark.range(10).select(F.lit("k").alias("k"), F.col("id").alias("seq"), F.lit("v").alias("v"))
     plan = previous_value(df, ["k"], "seq", "v", "p")._jdf.queryExecution().optimizedPlan().toString()
     assert "_interval" in plan
+
+
+def test_changes_of_an_event_in_every_payload(spark):
+    """Order numbers as the stream makes them: one hot id in each of many payloads, in few slices."""
+    rng = random.Random(9)
+    rows = [("hot" if pos == 0 else f"k{rng.randrange(40)}", payload * (1 << 20) + pos, rng.choice("ab")) for payload in range(5000, 6500) for pos in range(2)]
+    want, last = {}, {}
+    for key, seq, value in rows:
+        want[seq] = "inserted" if key not in last else "unchanged" if last[key] == value else "updated"
+        last[key] = value
+    df = spark.createDataFrame(rows, "id string, seq long, event_hash string")
+    none = spark.createDataFrame([], "id string, event_hash string")
+    for chunk in ((1 << 20) * 8, 1 << 20):
+        got = classify_changes(df, none, carry=(), chunk=chunk).collect()
+        assert {r["seq"]: r["change"] for r in got} == want
