@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillflow.llm import urls
+from rillflow.llm import twins, urls
 from rillflow.llm.chaining import op3_chained_passages
 from rillflow.llm.decontaminate import op4_decontaminate
 from rillflow.llm.language import op7_language_id
@@ -21,4 +21,4 @@ QUERIES = {
         op9_pack_documents, op10_minhash_dedup,
     )
 }
-ORACLES = {"op6_url_filter": urls.SQL}
+ORACLES = {"op1_quality_rules": twins.QUALITY, "op4_decontaminate": twins.BENCHMARK, "op6_url_filter": urls.SQL}
