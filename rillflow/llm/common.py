@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 NULL_ID = np.iinfo(np.int64).min
 #: Bytes of text handled at once; the arrays made from a slice stay in the processor's cache.
 SLICE_BYTES = 1 << 19
+BATCH_BYTES = str(4 << 20)
 
 U = np.uint64
 _WHITE = np.zeros(256, bool)
@@ -44,9 +45,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python its rows in batches of a few megabytes, however long the texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def narrowed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id as long and the text, by position: other columns may have any names."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -67,7 +74,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_string()).fill_null("").cast(pa.large_binary()).to_pylist()
 
 
-def slices(lens: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def slices(lens: Sequence[int] | np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes together; a longer text is alone."""
     start, size = 0, 0
     for i, n in enumerate(lens):

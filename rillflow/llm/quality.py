@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import _WHITE, ids_back, ids_of, saved, slices, texts_of, window_hashes, word_spans
+from rillflow.llm.common import _WHITE, ids_back, ids_of, saved, slices, small_batches, texts_of, window_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
@@ -114,7 +114,7 @@ def frequent_lines(stats: DataFrame, max_share: float, least_docs: int) -> DataF
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float, least_docs: int) -> tuple[DataFrame, DataFrame]:
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"))
     stats = saved(texts.mapInArrow(_stats, STATS))
     return stats, saved(frequent_lines(stats, max_share, least_docs))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import saved, texts_of
+from rillflow.llm.common import saved, small_batches, texts_of
 
 # Element names and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -282,7 +282,7 @@ def main_texts(
     nothing else keeps its text. Repeated rows give repeated results; other columns are not read. An
     empty table gives no rows.
     """
-    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    pages = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     counts = pages.select("url", "html").mapInArrow(_count, "host string, path long, parent long, kind int, value long, n long")
     whole = counts.groupBy("host", "path", "parent", "kind", "value").agg(F.sum("n").alias("n"))
     log_n = F.log(F.col("n").cast("double"))

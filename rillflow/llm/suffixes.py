@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import NULL_ID, U, ids_back, ids_of, mixed, narrowed, saved, slices, texts_of, words_at
+from rillflow.llm.common import NULL_ID, U, ids_back, ids_of, mixed, narrowed, saved, slices, small_batches, texts_of, words_at
 
 #: Difference cover modulo 7: every difference of places is a difference of two of these.
 COVER, PERIOD = (0, 1, 3), 7
@@ -466,7 +466,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     columns = docs.columns
     renamed = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c for c, n in zip(renamed, columns) if n != text_col])
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c for c, n in zip(renamed, columns) if n != text_col])
     grouped, removed = _searched(texts, min_bytes)
 
     def cut(chunk: pa.Table, marks: pa.Table) -> pa.Table:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import ids_back, ids_of, narrowed, texts_of, work_dir
+from rillflow.llm.common import ids_back, ids_of, narrowed, slices, texts_of, work_dir
 from rillflow.llm.encoding import encoder
 
 SAMPLE_DOCS, DICTIONARY_BYTES, SHARD_BYTES = 512, 64 << 10, 16 << 20
@@ -38,8 +38,9 @@ def restored(data: bytes) -> np.ndarray:
 
 def _ids(texts: list[bytes], path: str, end_id: int) -> Iterator[np.ndarray]:
     end = np.array([end_id], "<u4")
-    for raw in encoder(path).encode([t.decode() for t in texts]):
-        yield np.concatenate([np.frombuffer(raw, "<u4"), end])
+    for a, b in slices([len(t) for t in texts]):
+        for raw in encoder(path).encode([t.decode() for t in texts[a:b]]):
+            yield np.concatenate([np.frombuffer(raw, "<u4"), end])
 
 
 def trained(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
