@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rillflow.llm.common import ids_back, ids_of, narrowed, saved, texts_of
+from rillflow.llm.common import ids_back, ids_of, narrowed, saved, small_batches, texts_of
 
 PART_BYTES = 1 << 20
 #: A-Z in lower case; what is no digit, letter or byte of a wider character parts words.
@@ -199,6 +200,16 @@ def _search(sent, window: int, last: bool):
     return rows
 
 
+def _parts(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, part_bytes: int) -> list:
+    """The items as broadcast parts of about ``part_bytes``; one empty part without items."""
+    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.col(item_text).cast("string").alias("text"))
+    items = items.where("text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    mine = [items.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == part) for part in range(parts)]
+    return [docs.sparkSession.sparkContext.broadcast(sorted((r["name"], r["text"].encode()) for r in one.toLocalIterator())) for one in mine]
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     window: int = 10, part_bytes: int = PART_BYTES,
@@ -210,49 +221,65 @@ def contamination(
     repeated results, other columns are not read. No documents give no rows; no items give no hits.
     """
     docs = narrowed(docs, id_col, text_col)
-    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.col(item_text).cast("string").alias("text"))
-    items = items.where("text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
-    for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == part)
-        sent = docs.sparkSession.sparkContext.broadcast(sorted((r["name"], r["text"].encode()) for r in mine.toLocalIterator()))
-        if part == parts - 1:
-            return docs.mapInArrow(_search(sent, window, True), FOUND)
+    *before, last = _parts(docs, items, item_id, item_text, part_bytes)
+    for sent in before:
         docs = saved(docs.mapInArrow(_search(sent, window, False), SO_FAR))
+    return docs.mapInArrow(_search(last, window, True), FOUND)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 10, most_share: float = 0.5, **names) -> DataFrame:
-    """``docs`` without the hit runs of ``least_words`` words or more (or of whole shorter items), and without
-    the documents of whose words more than ``most_share`` are hit.
+def _cut(sent, window: int, columns: list[str], place: int, least_words: int, most_share: float, last: bool):
+    """Adds one part's hits to the rows; after the last part the hit runs go from the texts, and with them the
+    documents that are mostly hit."""
 
-    All columns stay; the text of other documents is not touched. Rows with one id and one text are
-    treated alike.
-    """
-    window = names.pop("window", 10)
-    found = contamination(docs, items, id_col, text_col, window=window, **names).where("n_hit > 0").dropDuplicates()
-    runs = found.select(F.col("doc_id").alias("_hit_id"), F.col("n_words").alias("_n_words"), F.col("n_hit").alias("_n_hit"), F.col("spans").alias("_spans"))
-    joined = docs.join(runs, F.col(id_col).cast("long") == F.col("_hit_id"), "left")
-    columns = docs.columns
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = columns.index(text_col)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(sent.value, window)
         for batch in batches:
-            keep, texts = [], []
-            spans, words, hits = (batch.column(len(columns) + i).to_pylist() for i in (3, 1, 2))
-            for i, text in enumerate(batch.column(place).to_pylist()):
-                if spans[i] and hits[i] > most_share * words[i]:
+            texts, changed, keep, bits = texts_of(batch.column(place)), batch.column(place).to_pylist(), [], []
+            before = batch.column(len(columns)).to_pylist() if batch.num_columns > len(columns) else repeat(None)
+            for i, (text, old) in enumerate(zip(texts, before)):
+                words = words_of(text)
+                hit, _ = automaton.hits(words)
+                if old:
+                    known = np.unpackbits(np.frombuffer(old, np.uint8), count=len(words)).astype(bool)
+                    hit = known if hit is None else hit | known
+                bits.append(None if hit is None else np.packbits(hit).tobytes())
+                if not last or hit is None:
+                    keep.append(i)
                     continue
-                for span in reversed(spans[i] or ()):
-                    if span["words"] >= min(least_words, window) or span["words"] == hits[i]:
-                        raw = text.encode()
-                        text = (raw[: span["start"]].rstrip() + b" " + raw[span["end"] :].lstrip()).strip().decode("utf-8", "replace")
+                total = int(hit.sum())
+                if total > most_share * len(words):
+                    continue
+                for span in reversed(_spans(text, hit)):
+                    if span["words"] >= min(least_words, window) or span["words"] == total:
+                        text = (text[: span["start"]].rstrip() + b" " + text[span["end"] :].lstrip()).strip()
+                changed[i] = text.decode()
                 keep.append(i)
-                texts.append(text)
-            rows = batch.select(columns).take(pa.array(keep, pa.int64()))
-            yield rows.set_column(place, columns[place], pa.array(texts, pa.string()))
+            out = batch.select(columns)
+            if last:
+                yield out.set_column(place, columns[place], pa.array(changed, pa.string())).take(pa.array(keep, pa.int64()))
+            else:
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(bits, pa.binary())], [*columns, "_hit"])
+
+    return rows
 
-    return joined.mapInArrow(cut, docs.schema)
+
+def decontaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10,
+    least_words: int = 10, most_share: float = 0.5, part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """``docs`` without the hit runs of ``least_words`` words or more (or of whole shorter items), and without
+    the documents of whose words more than ``most_share`` are hit.
+
+    All columns stay; other texts are not touched, null ones neither. Each row is judged by itself, in place.
+    """
+    columns = small_batches(docs).columns
+    place = columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_hit", T.BinaryType())])
+    *before, last = _parts(docs, items, item_id, item_text, part_bytes)
+    for sent in before:
+        marked = docs.mapInArrow(_cut(sent, window, columns, place, least_words, most_share, False), schema)
+        docs = saved(marked)
+    return docs.mapInArrow(_cut(last, window, columns, place, least_words, most_share, True), T.StructType(schema.fields[:-1]))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

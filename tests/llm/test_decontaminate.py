@@ -48,6 +48,8 @@ def test_documents(spark, sf_dir):
     got = {r.doc_id: r for r in op4_decontaminate(spark, sf_dir).collect()}
     assert all((got[k].n_hit, got[k].n_items, got[k].contaminated) == (h, len(i), h > 0) for k, _, h, i in want)
     left = decontaminated(docs, items)
+    parted = decontaminated(docs, items, part_bytes=3000)
+    assert sorted(map(tuple, parted.collect()), key=str) == sorted(map(tuple, left.collect()), key=str)
     assert left.columns == docs.columns and contamination(left, items).where("n_hit > 0").count() == 0
     clean = {k for k, _, h, _ in want if not h}
     assert {r.doc_id: r.text for r in left.collect() if r.doc_id in clean} == {r.doc_id: r.text for r in docs.collect() if r.doc_id in clean}
