@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.common import small_batches
+
 #: Labelled documents to learn from per language, entries of the model, longest n-gram.
-FIT_DOCS, ENTRIES, LONGEST = 4000, 300_000, 5
-KNOWN = 500_000
+FIT_DOCS, ENTRIES, LONGEST = 4000, 200_000, 5
+KNOWN = 300_000
 HELD = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -171,7 +173,7 @@ def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     score 0. Equal scores take the first name. Repeated rows are all counted and all answered; other columns
     are not read; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     docs = docs.withColumn("held_out", held_out)
     parts = fitted(docs.where("doc_id is not null and lang is not null and text is not null and not held_out").select("doc_id", "lang", "text"), **bounds)
