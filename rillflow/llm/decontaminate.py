@@ -250,7 +250,7 @@ def _cut(sent, window: int, columns: list[str], place: int, least_words: int, mo
                 if total > most_share * len(words):
                     continue
                 for span in reversed(_spans(text, hit)):
-                    if span["words"] >= min(least_words, window) or span["words"] == total:
+                    if span["words"] >= least_words or least_words <= window:
                         text = (text[: span["start"]].rstrip() + b" " + text[span["end"] :].lstrip()).strip()
                 changed[i] = text.decode()
                 keep.append(i)
@@ -267,10 +267,10 @@ def decontaminated(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10,
     least_words: int = 10, most_share: float = 0.5, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """``docs`` without the hit runs of ``least_words`` words or more (or of whole shorter items), and without
-    the documents of whose words more than ``most_share`` are hit.
+    """``docs`` without their hit runs, and without the documents of whose words more than ``most_share`` are hit.
 
-    All columns stay; other texts are not touched, null ones neither. Each row is judged by itself, in place.
+    A run is a window or a whole shorter item at least, so ``least_words`` spares shorter runs only where it is
+    more than ``window``. All columns stay; other texts are not touched, null ones neither. Each row is judged by itself, in place.
     """
     columns = small_batches(docs).columns
     place = columns.index(text_col)

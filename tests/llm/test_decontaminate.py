@@ -64,6 +64,39 @@ def test_short_items_and_parts(spark, part_bytes):
     assert answer(contamination(cases.table(spark, rows), df, part_bytes=part_bytes)) == brute(rows, items)
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 60])
+def test_short_items_are_cut(spark, part_bytes):
+    long = " ".join(f"w{i}" for i in range(20))
+    items = [(1, "q r s"), (2, "t u"), (3, long), (4, "v")]
+    draw = random.Random(2)
+    rows = [(0, "a b q r s c d e q r s f g h i j"), (1, "a b q r s c d e t u f g h"), (2, "a b c d " * 10 + long + " e q r s f t u g"), (3, "a b q r s c d")]
+    planted = ["q r s", "t u", "v", long, long[:30], "q r"]
+    for key in range(4, 60):
+        parts = [x for _ in range(draw.randint(0, 6)) for x in (cases.words(draw.randint(5, 15), draw.random()), draw.choice(planted))]
+        rows.append((key, " ".join([*parts, cases.words(8, key)])))
+    df = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for key, text in rows:
+        x = words(text)
+        hit = [False] * len(x)
+        for _, item in items:
+            y = words(item)
+            size = min(10, len(y))
+            windows = {tuple(y[i : i + size]) for i in range(len(y) - size + 1)}
+            for i in range(len(x) - size + 1):
+                if tuple(x[i : i + size]) in windows:
+                    hit[i : i + size] = [True] * size
+        if sum(hit) <= 0.5 * len(x):
+            want[key] = [w for w, h in zip(x, hit) if not h]
+    docs = cases.table(spark, rows)
+    got = {r.doc_id: words(r.text) for r in decontaminated(docs, df, part_bytes=part_bytes).collect()}
+    assert len(want) > 30 and {0, 1, 2, 3} <= set(want)
+    assert got == want
+    # Runs shorter than asked for stay only where more than a window is asked for.
+    kept = {r.doc_id: r.text for r in decontaminated(docs, df, least_words=11).collect()}
+    assert kept[0] == rows[0][1] and kept[2].split() == ("a b c d " * 10 + " e q r s f t u g").split()
+
+
 def test_empty(spark):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert contamination(cases.empty(spark), items).count() == 0
