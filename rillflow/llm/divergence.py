@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,19 @@ from rillflow.llm.common import saved, small_batches, texts_of
 
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 UNIT = 1_000_000_000
-#: Entries of a task's table before it is passed on; bytes of a text read at once.
-HELD, PIECE = 300_000, 1 << 20
-#: Rows looked through at once for skybands, and rows of skybands a task holds.
-LOOKED, BANDS = 100_000, 500_000
-#: Rows of a block of terms, sources of a band, cells of a matrix.
-BLOCK, BAND, CELLS = 200_000, 256, 1 << 20
+#: Bytes of a text read at once.
+PIECE = 1 << 20
+
+
+class Sizes(NamedTuple):
+    """What a task holds at once; results do not depend on it."""
+
+    entries: int = 300_000  # of the table of counts before it is passed on
+    looked: int = 100_000  # rows looked through for skybands
+    bands: int = 500_000  # rows of skybands
+    block: int = 200_000  # rows of a block of terms
+    band: int = 256  # sources compared with all others
+    cells: int = 1 << 20  # of a matrix of terms and sources
 
 
 def terms_of(text: bytes) -> Counter:
@@ -45,32 +53,36 @@ def terms_of(text: bytes) -> Counter:
     return found
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(entries: int):
     """Partial counts: lang, source, term, occurrences, documents."""
-    held: dict[tuple[str, str, bytes], list[int]] = {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        langs, sources, terms = zip(*held)
-        n, docs = zip(*held.values())
-        held.clear()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(langs), pa.array(sources), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())],
-            ["lang", "source", "term", "n", "docs"],
-        )
-
-    for batch in batches:
-        for text, lang, source in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            for term, n in terms_of(text).items():
-                entry = held.get((lang, source, term))
-                if entry is None:
-                    held[lang, source, term] = [n, 1]
-                else:
-                    entry[0] += n
-                    entry[1] += 1
-            if len(held) > HELD:
-                yield from out()
-    if held:
-        yield from out()
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str, bytes], list[int]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            langs, sources, terms = zip(*held)
+            n, docs = zip(*held.values())
+            held.clear()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs), pa.array(sources), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())],
+                ["lang", "source", "term", "n", "docs"],
+            )
+
+        for batch in batches:
+            for text, lang, source in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for term, n in terms_of(text).items():
+                    entry = held.get((lang, source, term))
+                    if entry is None:
+                        held[lang, source, term] = [n, 1]
+                    else:
+                        entry[0] += n
+                        entry[1] += 1
+                if len(held) > entries:
+                    yield from out()
+        if held:
+            yield from out()
+
+    return counts
 
 
 def _read(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -78,9 +90,9 @@ def _read(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
     return small_batches(docs).select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in named))
 
 
-def _kept(texts: DataFrame, least_docs: int) -> DataFrame:
+def _kept(texts: DataFrame, least_docs: int, sizes: Sizes) -> DataFrame:
     """lang, source, term, n, total (in the language) of the terms in ``least_docs`` documents of their language."""
-    partial = texts.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    partial = texts.mapInArrow(_counts(sizes.entries), "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     counts = partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     whole = Window.partitionBy("lang", "term")
     counts = counts.withColumn("total", F.sum("n").over(whole)).withColumn("docs", F.sum("docs").over(whole))
@@ -122,7 +134,7 @@ def skyband(terms: pa.Array, n: np.ndarray, total: np.ndarray, k: int) -> np.nda
     return kept
 
 
-def _skybands(k: int):
+def _skybands(k: int, looked: int, bands: int):
     names = ["lang", "source", "term", "n", "total"]
 
     def skybands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +156,9 @@ def _skybands(k: int):
 
         for batch in batches:
             waiting.append(pa.Table.from_batches([batch]).select(names))
-            if sum(map(len, waiting)) >= LOOKED:
+            if sum(map(len, waiting)) > looked:
                 look()
-                if sum(map(len, held.values())) > BANDS:
+                if sum(map(len, held.values())) > bands:
                     yield from pa.concat_tables(held.values()).to_batches()
                     held.clear()
         if waiting:
@@ -167,10 +179,10 @@ def _facts(texts: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     return saved(groups.select("lang", "source", (F.coalesce("size", F.lit(0)) + v).alias("size"), v.alias("v"))), saved(langs.select("lang", "lang_size"))
 
 
-def top_terms(kept: DataFrame, groups: DataFrame, langs: DataFrame, k: int) -> DataFrame:
+def top_terms(kept: DataFrame, groups: DataFrame, langs: DataFrame, k: int, sizes: Sizes = Sizes()) -> DataFrame:
     """lang, source, item, value, rank of the ``k`` terms whose share in the group most exceeds that in the language."""
-    first = kept.mapInArrow(_skybands(k), kept.schema)
-    merged = first.repartition("lang", "source").mapInArrow(_skybands(k), kept.schema)
+    skybands = _skybands(k, sizes.looked, sizes.bands)
+    merged = kept.mapInArrow(skybands, kept.schema).repartition("lang", "source").mapInArrow(skybands, kept.schema)
     shares = merged.join(groups.select("lang", "source", "size"), ["lang", "source"]).join(langs, "lang")
     shares = shares.select("lang", "source", F.col("term").alias("item"), _p(F.col("n"), F.col("size")).alias("p"), _p(F.col("total"), F.col("lang_size")).alias("q"))
     valued = shares.where("p > q").select("lang", "source", "item", F.expr("(p - q) * (p - q) DIV q").alias("value"))
@@ -182,49 +194,55 @@ def _ranked(valued: DataFrame) -> DataFrame:
     return valued.withColumn("rank", F.row_number().over(order))
 
 
-def _sums(key: tuple, terms: pa.Table, sources: pa.Table) -> pa.Table:
+def _sums(band: int, cells: int):
     """Sums over the terms of a block, for each source of a band against each other source of the language; block 0 names all pairs."""
-    band = key[2].as_py()
-    sources = sources.sort_by("source")
-    names, size = sources.column("source").to_pylist(), sources.column("size").to_numpy().astype(np.int64)
-    mine = range(band * BAND, min((band + 1) * BAND, len(names)))
-    sums = np.zeros((len(mine), len(names)), np.int64)
-    if len(terms):
-        term = terms.column("term").combine_chunks().dictionary_encode()
-        place = {name: i for i, name in enumerate(names)}
-        row, n = term.indices.to_numpy(), terms.column("n").to_numpy()
-        column = np.array([place[s] for s in terms.column("source").to_pylist()])
-        order = np.argsort(row, kind="stable")
-        row, column, n = row[order], column[order], n[order]
-        step = max(1, CELLS // len(names))
-        for at in range(0, len(term.dictionary), step):
-            a, b = np.searchsorted(row, (at, at + step))
-            counts = np.zeros((min(step, len(term.dictionary) - at), len(names)), np.int64)
-            counts[row[a:b] - at, column[a:b]] = n[a:b]
-            shares = p_of(counts, size)
-            for i, g in enumerate(mine):
-                far = shares[:, g : g + 1] - shares
-                sums[i] += (far * far // shares).sum(0)
-    told = len(terms) or key[1].as_py() == 0
-    pairs = [(names[g], names[o], int(sums[i, o])) for i, g in enumerate(mine) for o in range(len(names)) if o != g] if told else []
-    lang = [key[0].as_py()] * len(pairs)
-    a, b, value = zip(*pairs) if pairs else ((), (), ())
-    return pa.table({"lang": pa.array(lang, pa.string()), "source": pa.array(a, pa.string()), "item": pa.array(b, pa.string()), "value": pa.array(value, pa.int64())})
-
-
-def pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
+
+    def sums_of(key: tuple, terms: pa.Table, sources: pa.Table) -> pa.Table:
+        sources = sources.sort_by("source")
+        names, size = sources.column("source").to_pylist(), sources.column("size").to_numpy().astype(np.int64)
+        first = key[2].as_py() * band
+        mine = range(first, min(first + band, len(names)))
+        sums = np.zeros((len(mine), len(names)), np.int64)
+        if len(terms):
+            term = terms.column("term").combine_chunks().dictionary_encode()
+            place = {name: i for i, name in enumerate(names)}
+            row, n = term.indices.to_numpy(), terms.column("n").to_numpy()
+            column = np.array([place[s] for s in terms.column("source").to_pylist()])
+            order = np.argsort(row, kind="stable")
+            row, column, n = row[order], column[order], n[order]
+            step = max(1, cells // len(names))
+            for at in range(0, len(term.dictionary), step):
+                a, b = np.searchsorted(row, (at, at + step))
+                counts = np.zeros((min(step, len(term.dictionary) - at), len(names)), np.int64)
+                counts[row[a:b] - at, column[a:b]] = n[a:b]
+                shares = p_of(counts, size)
+                for i, g in enumerate(mine):
+                    far = shares[:, g : g + 1] - shares
+                    sums[i] += (far * far // shares).sum(0)
+        told = len(terms) or key[1].as_py() == 0
+        pairs = [(names[g], names[o], int(sums[i, o])) for i, g in enumerate(mine) for o in range(len(names)) if o != g] if told else []
+        lang = [key[0].as_py()] * len(pairs)
+        a, b, value = zip(*pairs) if pairs else ((), (), ())
+        return pa.table({"lang": pa.array(lang, pa.string()), "source": pa.array(a, pa.string()), "item": pa.array(b, pa.string()), "value": pa.array(value, pa.int64())})
+
+    return sums_of
+
+
+def pairs(kept: DataFrame, groups: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """lang, source, item, value, rank: every other source of the language by its divergence over all kept terms."""
-    blocks = max(1, -(-kept.count() // BLOCK))
+    blocks = max(1, -(-kept.count() // sizes.block))
     widest = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    bands = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-widest // BAND) - 1)))).alias("band")
+    bands = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-widest // sizes.band) - 1)))).alias("band")
     terms = kept.select("lang", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"), bands, "source", "term", "n")
     sources = groups.select("lang", "source", "size", bands).select("lang", "band", "source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     keys = ("lang", "block", "band")
-    parts = terms.groupBy(*keys).cogroup(sources.groupBy(*keys)).applyInArrow(_sums, "lang string, source string, item string, value long")
+    parts = terms.groupBy(*keys).cogroup(sources.groupBy(*keys)).applyInArrow(_sums(sizes.band, sizes.cells), "lang string, source string, item string, value long")
     return _ranked(parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")))
 
 
-def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 3, k: int = 200) -> DataFrame:
+def divergence(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 3, k: int = 200, sizes: Sizes = Sizes(),
+) -> DataFrame:
     """Divergence of every source from the others of its language (part ``pair``) and its ``k`` most typical terms (part ``term``).
 
     Rows: lang, source, part, item, value, rank. A null text, lang or source is empty text. Every row is a document, repeated
@@ -232,9 +250,9 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     one source has no pairs; ties are ranked by the bytes of the item. An empty table gives no rows.
     """
     texts = _read(docs, text_col, lang_col, source_col)
-    kept = saved(_kept(texts, least_docs))
+    kept = saved(_kept(texts, least_docs, sizes))
     groups, langs = _facts(texts, kept)
-    parts = [pairs(kept, groups).withColumn("part", F.lit("pair")), top_terms(kept, groups, langs, k).withColumn("part", F.lit("term"))]
+    parts = [pairs(kept, groups, sizes).withColumn("part", F.lit("pair")), top_terms(kept, groups, langs, k, sizes).withColumn("part", F.lit("term"))]
     return parts[0].unionByName(parts[1]).select("lang", "source", "part", "item", F.col("value").cast("long"), "rank")
 
 

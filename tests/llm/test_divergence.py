@@ -74,11 +74,9 @@ def test_edges(odd):
     assert got(D.divergence(docs, least_docs=1, k=3)) == brute(rows, 1, 3)
 
 
-def test_blocks_bands_and_small_tables(odd, monkeypatch):
+def test_blocks_bands_and_small_tables(odd):
     rows, docs = odd
-    for name, value in (("BLOCK", 100), ("BAND", 2), ("CELLS", 40), ("HELD", 50), ("PIECE", 64), ("LOOKED", 30), ("BANDS", 100)):
-        monkeypatch.setattr(D, name, value)
-    assert got(D.divergence(docs, k=5)) == brute(rows, k=5)
+    assert got(D.divergence(docs, k=5, sizes=D.Sizes(entries=50, looked=30, bands=100, block=100, band=2, cells=40))) == brute(rows, k=5)
 
 
 def test_empty(odd):
