@@ -1,15 +1,17 @@
 """Language of a text, word first: known words by their frequency in each language, unseen words by their
 longest character n-grams that are known, backing off to shorter ones.
 
-The model is fitted on a bounded, hash-chosen sample of labelled documents per language and holds a bounded number of
-entries, so it can be broadcast. Counts are combined inside the tasks before they are shuffled.
+The model is fitted on a bounded, hash-chosen sample of labelled documents per language and holds every word and n-gram
+of theirs; as the sample is bounded, so is what is broadcast. Counts are combined inside the tasks before they are shuffled.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import small_batches
 
-#: Labelled documents to learn from per language, entries of the model, longest n-gram.
-FIT_DOCS, ENTRIES, LONGEST = 4000, 200_000, 5
+#: Labelled documents to learn from per language, longest n-gram.
+FIT_DOCS, LONGEST = 600, 5
 KNOWN = 300_000
 HELD = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -69,49 +71,50 @@ class Model:
         self.languages = sorted({lang for lang, _ in totals})
         place = {lang: i for i, lang in enumerate(self.languages)}
         width = len(self.languages)
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
         # A word or n-gram that a language lacks counts as half an occurrence there.
         floors = np.zeros((LONGEST + 1, width))
         for (lang, n), total in totals.items():
             floors[n, place[lang]] = np.log(0.5 / total)
+        kinds = []
+        for _, n, gram, _ in entries:
+            if gram not in self.tables[n]:
+                self.tables[n][gram] = len(kinds)
+                kinds.append(n)
+        self.rows = floors[kinds] if kinds else np.zeros((0, width))
         for lang, n, gram, times in entries:
-            row = self.tables[n].setdefault(gram, floors[n].copy())
-            row[place[lang]] = np.log(times / totals[lang, n])
+            self.rows[self.tables[n][gram], place[lang]] = np.log(times / totals[lang, n])
         self.blank = np.zeros(width)
 
     def word(self, word: str) -> np.ndarray:
         """Log score of a word in each language."""
         row = self.tables[0].get(word)
         if row is not None:
-            return row
+            return self.rows[row]
         for n in range(LONGEST, 0, -1):
             table = self.tables[n]
             rows = [table[g] for g in grams_of(word, n) if g in table]
             if rows:
-                return np.mean(rows, axis=0)
+                return self.rows[rows].mean(axis=0)
         return self.blank
 
 
-_READY: dict[int, tuple] = {}
+_READY: dict[str, tuple] = {}
 
 
-def _ready(sent) -> tuple[Model, dict[str, int], np.ndarray]:
+def _ready(sent: _Sent) -> tuple[Model, dict[str, int], np.ndarray]:
     if sent.id not in _READY:
         _READY.clear()
-        model = Model(*sent.value)
-        _READY[sent.id] = (model, {}, np.zeros((KNOWN + 1, len(model.languages)), np.float32))
+        model = Model(*sent.broadcast.value)
+        _READY[sent.id] = (model, {}, np.zeros((KNOWN, len(model.languages))))
     return _READY[sent.id]
 
 
-class _Sent:
-    """A broadcast value with a number that tells models apart inside a worker."""
+class _Sent(NamedTuple):
+    """A broadcast model and a name of this fit, for workers live on and meet others."""
 
-    def __init__(self, broadcast, number: int) -> None:
-        self.broadcast, self.id = broadcast, number
-
-    @property
-    def value(self):
-        return self.broadcast.value
+    broadcast: object
+    id: str
 
 
 def _predict(sent: _Sent):
@@ -125,18 +128,18 @@ def _predict(sent: _Sent):
                     found.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                extra = []
+                extra = {}
                 for word in set(words).difference(places):
                     if len(places) < KNOWN:
                         table[len(places)] = model.word(word)
                         places[word] = len(places)
                     else:
-                        extra.append(word)
+                        extra[word] = model.word(word)
                 if extra:
-                    rare = set(extra)
-                    total = sum(model.word(w) for w in words if w in rare) + table[[places[w] for w in words if w not in rare]].sum(axis=0, dtype=np.float64)
+                    each = np.stack([extra[w] if w in extra else table[places[w]] for w in words])
                 else:
-                    total = table[list(map(places.__getitem__, words))].sum(axis=0, dtype=np.float64)
+                    each = table[list(map(places.__getitem__, words))]
+                total = each.sum(axis=0)
                 best = int(np.argmax(total))
                 found.append(model.languages[best])
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
@@ -147,22 +150,19 @@ def _predict(sent: _Sent):
     return rows
 
 
-def fitted(labelled: DataFrame, fit_docs: int = FIT_DOCS, entries: int = ENTRIES) -> tuple[list, dict]:
-    """Model parts from (doc_id, lang, text): about ``fit_docs`` documents of each language, chosen by the hash of
-    their id, and of what they hold the ``entries`` words and n-grams that are most frequent for their kind."""
+def fitted(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list, dict]:
+    """Model parts from (doc_id, lang, text): the words and n-grams of about ``fit_docs`` documents of each language, chosen by the hash of their id."""
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return [], {}
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_docs / n))]), F.col("lang"))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, times long")
-    counts = counts.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")).persist()
-    totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("t")).collect()}
-    whole = F.element_at(F.create_map(*[F.lit(x) for (lang, n), t in totals.items() for x in (f"{n} {lang}", t)]), F.concat_ws(" ", "n", "lang")) if totals else F.lit(1)
-    top = counts.where("times > 1").orderBy(F.desc(F.col("times") / whole), "n", "gram", "lang").limit(entries)
-    kept = [tuple(r) for r in top.select("lang", "n", "gram", "times").collect()]
-    counts.unpersist()
-    return kept, totals
+    entries = [tuple(r) for r in counts.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")).orderBy("n", "gram", "lang").collect()]
+    totals: Counter = Counter()
+    for lang, n, _, times in entries:
+        totals[lang, n] += times
+    return entries, dict(totals)
 
 
 def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
@@ -177,8 +177,7 @@ def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     docs = docs.withColumn("held_out", held_out)
     parts = fitted(docs.where("doc_id is not null and lang is not null and text is not null and not held_out").select("doc_id", "lang", "text"), **bounds)
-    broadcast = docs.sparkSession.sparkContext.broadcast(parts)
-    sent = _Sent(broadcast, hash((len(parts[0]), tuple(sorted(parts[1].items())))))
+    sent = _Sent(docs.sparkSession.sparkContext.broadcast(parts), uuid.uuid4().hex)
     return docs.select("doc_id", "text", "held_out").mapInArrow(_predict(sent), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -38,3 +38,35 @@ def test_edges(spark):
     assert predicted(cases.empty(spark)).count() == 0
     unlabelled = cases.table(spark, rows).drop("lang").selectExpr("*", "cast(null as string) lang")
     assert {r.lang_pred for r in predicted(unlabelled).collect()} == {"und"}
+
+
+def test_each_fit_has_its_own_model(spark):
+    """Two corpora with equal totals in one session: workers that live on must not answer with the first."""
+    texts = [("ab ac ad", "aa bb cc"), ("xy xz xw", "yy zz ww")]
+    for a, b in (("l1", "l2"), ("l2", "l1")):
+        rows = [(i, texts[i % 2][0 if i % 4 < 2 else 1], (a, b)[i % 2], "s", 1) for i in range(80)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8)
+        want = {r[0]: r[2] for r in rows}
+        assert all(r.lang_pred == want[r.doc_id] for r in predicted(docs).collect())
+
+
+def test_score_does_not_depend_on_what_came_before(spark, monkeypatch):
+    from rillflow.llm import language
+
+    entries = [("a", 0, w, t) for w, t in (("one", 3), ("two", 4), ("three", 9))] + [("b", 0, w, t) for w, t in (("two", 7), ("four", 5), ("one", 1))]
+    totals = {(lang, n): 17 for lang in "ab" for n in range(6)}
+    text = "one two three four two one four " * 50
+
+    class Value:
+        value = (entries, totals)
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([False])], ["doc_id", "text", "held_out"])
+    scores = set()
+    for known in (0, 1, 2, 100):
+        monkeypatch.setattr(language, "KNOWN", known)
+        language._READY.clear()
+        out, = language._predict(language._Sent(Value, str(known)))(iter([batch]))
+        scores.add(out.column(3)[0].as_py())
+    assert len(scores) == 1
