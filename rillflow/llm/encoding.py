@@ -97,12 +97,16 @@ class Encoder:
             word = (prefix + word).encode().decode("latin-1").translate(self.letters)
         return _packed([t.id for t in self.cut(word)])
 
+    def _ends_in_letter(self, stem: str) -> bool:
+        """Whether the vocabulary sees letters and digits only, in lower case and normal form too, and so parts them from a mark."""
+        return stem.isalnum() and (stem.isascii() or not self.free or (is_normalized("NFC", stem) and stem.lower().isalnum()))
+
     def _word(self, prefix: str, word: str, stems: _Known) -> bytes | None:
         """A word as it stands; None if white space inside it may join its neighbours."""
         if self.led and word.split() != [word]:
             return None
         mark = b""
-        if word[-1:] in MARKS and word[:-1].isalnum():
+        if word[-1:] in MARKS and self._ends_in_letter(word[:-1]):
             word, mark = word[:-1], self.marks[word[-1]]
         if self.free and (word.isascii() or ("Σ" not in word and is_normalized("NFC", word))):
             word = word.lower()

@@ -35,6 +35,9 @@ def test_words_give_the_ids_of_whole_texts(name, sf_dir, spark, monkeypatch):
     monkeypatch.setattr(encoding, "STEMS", 300)
     draw = random.Random(2)
     texts = ["", " ", "a  b", "a\n\nb", " a", "a ", "a\n", "x\ty", "x \ny", "q  r", "İ ΣΑΣ ς Σ", "it's don't", "áb é ́x", "<|endoftext|> a <|endoftext|>b", "\x1c a\x1cb", "A\r\nB", "Σ, ΑΣ. É, É. é! A1. 1a, ½. x_, a.. K, Å. ﬁ,"]
+    odd = ("İ", "STANBULİ", "aİb", "\u0958", "a\u0958", "ǰ", "ΐ", "ẞ", "ŉ", "é", "e\u0301", "1İ", "½", "Å", "\u1e9e", "Ω\u0301")
+    texts += [f"{w}{m}{t}" for w in odd for m in (*",.;:!?", "..", "'s", ".,", "-") for t in ("", " a", "\nb", "c")]
+    texts += ["".join(draw.choice("aİ\u0958\u0307é\u0301ΣB1,.;:!? ") for _ in range(draw.randint(1, 12))) for _ in range(1500)]
     texts += ["".join(draw.choice("ab \n\t.'sé A1!\u00a0\u0301Σ") for _ in range(draw.randint(0, 40))) for _ in range(1500)]
     texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     encoder = Encoder(FILES[name])
