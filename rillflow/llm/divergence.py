@@ -121,17 +121,21 @@ def skyband(terms: pa.Array, n: np.ndarray, total: np.ndarray, k: int) -> np.nda
     rank = np.empty(len(n), np.int64)
     rank[pc.sort_indices(terms).to_numpy()] = np.arange(len(n))
     order = np.lexsort((rank, total, -n))
-    kept = np.empty(0, np.int64)
+    small = np.uint16 if len(n) < 1 << 16 else np.uint32
+    t, r = np.unique(total, return_inverse=True)[1][order].astype(small), rank[order].astype(small)
+    kept, kept_t, kept_r = np.empty(0, np.int64), np.empty(0, small), np.empty(0, small)
     for at in range(0, len(order), 512):
-        part = order[at : at + 512]
-        t, r = total[part], rank[part]
-        before = np.zeros(len(part), np.int64)
-        for i in range(0, len(kept), 1 << 14):
-            seen = kept[i : i + (1 << 14)]
-            before += ((total[seen] <= t[:, None]) & (rank[seen] < r[:, None])).sum(1)
-        inside = np.tril((t <= t[:, None]) & (r < r[:, None]), -1).sum(1)
-        kept = np.concatenate([kept, part[before + inside < k]])
-    return kept
+        part, pt, pr = np.arange(at, min(at + 512, len(order))), t[at : at + 512], r[at : at + 512]
+        found = np.tril((pt <= pt[:, None]) & (pr < pr[:, None]), -1).sum(1)
+        for i in range(0, len(kept), 255):  # a sum of 255 bytes of 0 or 1 fits a byte
+            live = found < k
+            if 2 * live.sum() < len(live):
+                part, pt, pr, found = part[live], pt[live], pr[live], found[live]
+            before = (kept_t[i : i + 255, None] <= pt) & (kept_r[i : i + 255, None] < pr)
+            found = found + np.add.reduce(before.view(np.uint8), axis=0, dtype=np.uint8)
+        live = found < k
+        kept, kept_t, kept_r = (np.concatenate(x) for x in ((kept, part[live]), (kept_t, pt[live]), (kept_r, pr[live])))
+    return order[kept]
 
 
 def _skybands(k: int, looked: int, bands: int):
