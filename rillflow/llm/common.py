@@ -51,6 +51,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(taken: Sequence[str], name: str) -> str:
+    """``name``, or one like it that no column has, in whatever case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def narrowed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id as long and the text, by position: other columns may have any names."""
     return small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.llm.common import ids_back, ids_of, narrowed, saved, small_batches, texts_of
+from rillflow.llm.common import free_name, ids_back, ids_of, narrowed, saved, small_batches, texts_of
 
 PART_BYTES = 1 << 20
 #: A-Z in lower case; what is no digit, letter or byte of a wider character parts words.
@@ -258,7 +258,7 @@ def _cut(sent, window: int, columns: list[str], place: int, least_words: int, mo
             if last:
                 yield out.set_column(place, columns[place], pa.array(changed, pa.string())).take(pa.array(keep, pa.int64()))
             else:
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(bits, pa.binary())], [*columns, "_hit"])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(bits, pa.binary())], [*columns, free_name(columns, "_hit")])
 
     return rows
 
@@ -274,7 +274,7 @@ def decontaminated(
     """
     columns = small_batches(docs).columns
     place = columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_hit", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(free_name(columns, "_hit"), T.BinaryType())])
     *before, last = _parts(docs, items, item_id, item_text, part_bytes)
     for sent in before:
         marked = docs.mapInArrow(_cut(sent, window, columns, place, least_words, most_share, False), schema)

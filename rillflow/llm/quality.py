@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import _WHITE, ids_back, ids_of, saved, slices, small_batches, texts_of, window_hashes, word_spans
+from rillflow.llm.common import _WHITE, free_name, ids_back, ids_of, saved, slices, small_batches, texts_of, window_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
@@ -151,13 +151,15 @@ def filtered(
 ) -> DataFrame:
     """``docs`` without the documents that ``judged`` rejects, and without the frequent lines of their host in the others.
 
-    All columns stay. Every document is judged in place: it meets its host's frequent lines, of which there
-    are few, for each stands in a share of the host's documents.
+    All columns stay, whatever their names. Every document is judged in place: it meets its host's frequent lines, of which there
+    are few, for each stands in a share of the host's documents. Null and empty texts have no words and go; a null host is the
+    nameless one; null ids stay null, repeated rows are judged alike and all stay; an empty table gives no rows.
     """
     _, frequent = _prepared(docs, id_col, text_col, host_col, max_share, least_docs)
-    per_host = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_set("h").alias("_lines"))
-    joined = docs.join(per_host, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("_host"), "left")
     columns = docs.columns
+    host, lines = free_name(columns, "_host"), free_name(columns, "_lines")
+    per_host = frequent.groupBy(F.col("host").alias(host)).agg(F.collect_set("h").alias(lines))
+    joined = docs.join(per_host, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(host), "left")
     place = columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,3 +103,12 @@ def test_empty(spark):
     docs = cases.table(spark, cases.edge_rows())
     assert contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminated(docs, items.limit(0)).count() == docs.count()
+
+
+def test_clashing_name_stays(spark):
+    passage = cases.words(40, 5)
+    docs = spark.createDataFrame([(1, "a " + passage + " b " + cases.words(200, 6), "kept")], "doc_id long, text string, _hit string")
+    items = spark.createDataFrame([(i, passage if i == 0 else cases.words(30, 50 + i)) for i in range(6)], "item_id long, text string")
+    for part_bytes in (1 << 20, 100):
+        got, = decontaminated(docs, items, part_bytes=part_bytes).collect()
+        assert got._hit == "kept" and passage not in got.text

@@ -80,3 +80,11 @@ def test_filter_agrees_with_verdicts(hosts):
     assert set(left) == {i for i, kept in verdicts.items() if kept}
     assert all(notice.upper() not in left[i] for i in range(30)) and notice in left[200]
     assert filtered(docs).columns == docs.columns
+
+
+def test_clashing_names_stay(hosts):
+    docs, _ = hosts
+    odd = docs.selectExpr("*", "'x' AS _host", "array(1L) AS _lines", "1 AS _LINES_")
+    left = filtered(odd)
+    assert left.columns == odd.columns and left.count() == filtered(docs).count()
+    assert {(r._host, tuple(r._lines)) for r in left.select("_host", "_lines").collect()} == {("x", (1,))}

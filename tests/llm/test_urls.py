@@ -4,7 +4,7 @@ import random
 
 from oracle import compare, connect
 
-from rillflow.llm.urls import SQL, filed_under, judged, op6_url_filter, regex_of, tokens_of
+from rillflow.llm.urls import ALLOW, BLOCK, SQL, filed_under, judged, op6_url_filter, regex_of, tokens_of
 
 
 def test_query_against_sql(spark, sf_dir):
@@ -46,3 +46,21 @@ def test_index_loses_nothing(spark):
     for i, url in enumerate(urls):
         fits = [v for v, p in patterns if re.search(regex_of(p), url.lower())]
         assert got[i] == ("allow" if "allow" in fits or not fits else "block")
+
+
+def test_many_rules(spark):
+    """Some hundreds of rules, several to a bucket and to a token, against trying each of them."""
+    import random
+    import re as regex
+
+    draw = random.Random(9)
+    names = [f"w{i}" for i in range(150)]
+    patterns = tuple(dict.fromkeys((draw.choice((ALLOW, BLOCK)), draw.choice(("/{}/", "/{}/*{}.", "?{}=", "{}")).format(draw.choice(names), draw.choice(names))) for _ in range(400)))
+    hosts = tuple({h: (draw.choice((ALLOW, BLOCK)), h, "/") for h in (f"{draw.choice(names)}.org" for _ in range(100))}.values())
+    urls = [f"https://{draw.choice(names)}.{draw.choice(('org', 'com'))}/{draw.choice(names)}/x{draw.choice(names)}/{draw.choice(names)}.html?{draw.choice(names)}=1" for _ in range(300)]
+    out = judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), host_rules=hosts, patterns=patterns).collect()
+    for r in out:
+        by_host = {h: v for v, h, _ in hosts}.get(r.host)
+        fits = [(v == ALLOW, p) for v, p in patterns if regex.search(regex_of(p), urls[r.page_id].lower())]
+        best = max(fits) if fits and by_host is None else None
+        assert r.verdict == (by_host or ((ALLOW if best[0] else BLOCK) if best else ALLOW)) and r.pattern == (best[1] if best else None)
