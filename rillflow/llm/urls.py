@@ -88,9 +88,8 @@ def filed_under(urls: DataFrame, patterns) -> dict[str, list[tuple[str, str]]]:
     known = sorted({t for _, p in patterns for t in tokens_of(p)})
     counts = {}
     if known:
-        held = urls.select(F.explode(F.array_distinct(_url_tokens(F.col("url")))).alias("t"))
-        wanted = urls.sparkSession.createDataFrame([(t,) for t in known], "t string")
-        counts = {r["t"]: r["count"] for r in held.join(wanted, "t", "left_semi").groupBy("t").count().collect()}
+        held = _found(F.array_distinct(_url_tokens(F.col("url"))), {t: [{}] for t in known}, "same: boolean")
+        counts = {r["t"]: r["count"] for r in urls.select(F.explode(F.transform(held, lambda r: r["key"])).alias("t")).groupBy("t").count().collect()}
     out: dict[str, list[tuple[str, str]]] = {}
     for verdict, pattern in patterns:
         tokens = tokens_of(pattern)
