@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.schemas import (
-    COMMITS, EVENT_SCHEMA_VERSION, LAYOUT_VERSION, PRIMARY_KEYS, TABLES, columns,
+    COMMITS, EVENT_SCHEMA_VERSION, LAYOUT_VERSION, PRIMARY_KEYS, SIDE_KEYS, SIDE_TABLES, TABLES, columns,
 )
 
 _BATCH = columns("stream_id string, batch_id bigint")
+_SCHEMAS, _KEYS = TABLES | SIDE_TABLES, PRIMARY_KEYS | SIDE_KEYS
 # Core columns without which an old table cannot be upgraded.
 LEGACY_CORE = ("id", "source", "kind", "content", "url", "created_at", "collected_at", "metadata_json")
 
@@ -162,10 +163,10 @@ class Store:
     ) -> DataFrame:
         """The last committed row per primary key, from the newest base and the commits after it.
 
-        ``names`` limits the columns that are read, ``only`` the keys: a small frame of keys filters
-        both scans before anything is shuffled. Filters on key columns reach the scans by themselves.
+        ``names`` limits the columns that are read, ``only`` the keys: a small frame of keys, or of some of the key
+        columns, filters both scans before anything is shuffled. Filters on key columns reach the scans by themselves.
         """
-        schema, keys = TABLES[table], PRIMARY_KEYS[table]
+        schema, keys = _SCHEMAS[table], _KEYS[table]
         wanted = [f for f in schema.fields if names is None or f.name in names or f.name in keys]
         logged = T.StructType([*wanted, *[T.StructField(c, T.LongType()) for c in order]])
         base = self._base(table)
@@ -176,7 +177,8 @@ class Store:
             )
             rows = rows.unionByName(old)
         if only is not None:
-            rows = rows.join(only.select(*keys).distinct(), list(keys), "left_semi")
+            on = [k for k in keys if k in only.columns]
+            rows = rows.join(only.select(*on).distinct(), on, "left_semi")
         rest = [f.name for f in wanted if f.name not in keys]
         return (
             rows.groupBy(*keys)

@@ -96,4 +96,16 @@ PRIMARY_KEYS: dict[str, tuple[str, ...]] = {
     "delivery_sinks": ("sink_key",),
     "deliveries": ("sink_key", "event_id"),
 }
+# Tables that ingestion keeps for itself: what a comment needs of its issue, and the comments that wait for one.
+ISSUE_LINKS = columns(
+    "source string, source_instance string, repository_url string, issue_number bigint, "
+    "parent_event_id string, issue_url string, collected_at timestamp"
+)
+PARKED_COMMENTS = columns(
+    "source string, source_instance string, repository_url string, issue_number bigint, "
+    "id string, waits boolean"
+)
+LINK_KEYS = ("source", "source_instance", "repository_url", "issue_number")
+SIDE_TABLES = {"issue_links": ISSUE_LINKS, "parked_comments": PARKED_COMMENTS}
+SIDE_KEYS = {"issue_links": LINK_KEYS, "parked_comments": (*LINK_KEYS, "id")}
 SIGNAL_COLUMNS = tuple(SIGNALS.fieldNames())
