@@ -13,13 +13,14 @@ BATCH = 100
 MAX_ATTEMPTS = 8
 BACKOFF_BASE = 5.0
 BACKOFF_MAX = 3600.0
+OPEN = ("pending", "failed")
 GONE = "event no longer exists"
 
 
 def ready(deliveries: DataFrame, now: Column, limit: int = BATCH) -> DataFrame:
     """Oldest open rows per sink whose next attempt is due."""
     due = deliveries.filter(
-        F.col("status").isin("pending", "failed")
+        F.col("status").isin(*OPEN)
         & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now))
     )
     return top_per_key(

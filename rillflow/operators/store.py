@@ -8,6 +8,7 @@ proportional to the state, not to its history.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -21,6 +22,9 @@ from rillflow.schemas import (
 
 _BATCH = columns("stream_id string, batch_id bigint")
 _SCHEMAS, _KEYS = TABLES | SIDE_TABLES, PRIMARY_KEYS | SIDE_KEYS
+# The column that lays out a base, so that readers of some of its values leave the rest unread.
+LAID_OUT = {"deliveries": "status"}
+_MANIFEST = "table_name string, path string, version bigint, row_count bigint"
 # Core columns without which an old table cannot be upgraded.
 LEGACY_CORE = ("id", "source", "kind", "content", "url", "created_at", "collected_at", "metadata_json")
 
@@ -134,8 +138,8 @@ class Store:
     def is_committed(self, stream_id: str, batch_id: int) -> bool:
         return path_exists(self.spark, f"{self.path('commits')}/commit={stream_id}-{batch_id}")
 
-    def log(self, table: str, schema: T.StructType, after: int = 0) -> DataFrame:
-        """Committed rows of a table with their ``version``, those after a version only.
+    def log(self, table: str, schema: T.StructType, after: int = 0, as_of: int | None = None) -> DataFrame:
+        """Committed rows of a table with their ``version``, those after a version and up to ``as_of`` only.
 
         The commits are one small row per batch; joined on the folder columns they prune the scan.
         """
@@ -144,14 +148,17 @@ class Store:
         full = T.StructType([*schema.fields, *_BATCH.fields])
         rows = self.spark.read.schema(full).parquet(self.path(table))
         done = self.commits().filter(F.col("version") > after).select("stream_id", "batch_id", "version")
+        if as_of is not None:
+            done = done.filter(F.col("version") <= as_of)
         return rows.join(done, ["stream_id", "batch_id"]).select(*schema.fieldNames(), "version")
 
-    def _base(self, table: str) -> tuple[str, int] | None:
-        """The newest base of a table: its folder and the version it reaches."""
+    def _base(self, table: str, as_of: int | None = None) -> tuple[str, int] | None:
+        """The newest base of a table that reaches no further than ``as_of``: its folder and its version."""
         marks = f"{self.path('bases')}/{table}"
         if not path_exists(self.spark, marks):
             return None
-        newest = self.spark.read.parquet(f"{marks}/*").orderBy(F.desc("version")).head(1)
+        found = self.spark.read.parquet(f"{marks}/*")
+        newest = (found if as_of is None else found.filter(F.col("version") <= as_of)).orderBy(F.desc("version")).head(1)
         return (newest[0]["path"], newest[0]["version"]) if newest else None
 
     def current(
@@ -160,19 +167,32 @@ class Store:
         order: Sequence[str] = (),
         names: Sequence[str] | None = None,
         only: DataFrame | None = None,
+        among: Sequence[str] | None = None,
+        as_of: int | None = None,
     ) -> DataFrame:
         """The last committed row per primary key, from the newest base and the commits after it.
 
+        ``as_of`` gives the state at that version, whatever is committed meanwhile. ``among`` keeps rows with these values of
+        the column that lays out the table; of the base, only their folders are read. A row that
+        has moved to or from one of them since stands in the commits, which are read in any case.
+
         ``names`` limits the columns that are read, ``only`` the keys: a small frame of keys, or of some of the key
         columns, filters both scans before anything is shuffled. Filters on key columns reach the scans by themselves.
         """
         schema, keys = _SCHEMAS[table], _KEYS[table]
-        wanted = [f for f in schema.fields if names is None or f.name in names or f.name in keys]
+        laid = LAID_OUT.get(table)
+        if among is not None and laid is None:
+            raise ValueError(f"{table} is not laid out by a column")
+        must = keys if among is None else (*keys, laid)
+        wanted = [f for f in schema.fields if names is None or f.name in names or f.name in must]
         logged = T.StructType([*wanted, *[T.StructField(c, T.LongType()) for c in order]])
-        base = self._base(table)
-        rows = self.log(table, logged, base[1] if base else 0)
+        base = self._base(table, as_of)
+        rows = self.log(table, logged, base[1] if base else 0, as_of)
         if base is not None:
-            old = self.spark.read.schema(T.StructType(wanted)).parquet(base[0]).withColumns(
+            old = self.spark.read.schema(T.StructType(wanted)).parquet(base[0])
+            if among is not None:
+                old = old.filter(F.col(laid).isin(*among))
+            old = old.select(*[f.name for f in wanted]).withColumns(
                 {c: F.lit(-1).cast("bigint") for c in ("version", *order)}
             )
             rows = rows.unionByName(old)
@@ -180,22 +200,38 @@ class Store:
             on = [k for k in keys if k in only.columns]
             rows = rows.join(only.select(*on).distinct(), on, "left_semi")
         rest = [f.name for f in wanted if f.name not in keys]
-        return (
+        last = (
             rows.groupBy(*keys)
             .agg(F.max_by(F.struct(*rest), F.struct("version", *order)).alias("r"))
             .select(*[f"r.{f.name}" if f.name in rest else f.name for f in wanted])
         )
+        return last if among is None else last.filter(F.col(laid).isin(*among))
 
     def compact(self, table: str, order: Sequence[str] = ()) -> int:
         """Write the current state as a new base; readers switch once its mark is there."""
-        version = self.commits().agg(F.coalesce(F.max("version"), F.lit(0))).head()[0]
-        path = f"{self.path('base')}/{table}/version={version}"
-        self.current(table, order).write.mode("overwrite").parquet(path)
+        version, base = self.version(), self._base(table)
+        if base is not None and base[1] >= version:
+            return base[1]
+        # Folders of their own: two who compact at once write the same rows and disturb neither each other nor readers.
+        name = f"{version}-{uuid.uuid4().hex}"
+        path = f"{self.path('base')}/{table}/version={name}"
+        writer = self.current(table, order, as_of=version).write
+        if table in LAID_OUT:
+            writer = writer.partitionBy(LAID_OUT[table])
+        writer.parquet(path)
         self.spark.range(1).select(
             F.lit(path).alias("path"), F.lit(version).cast("bigint").alias("version")
-        ).coalesce(1).write.mode("overwrite").parquet(f"{self.path('bases')}/{table}/mark={version}")
+        ).coalesce(1).write.parquet(f"{self.path('bases')}/{table}/mark={name}")
         return version
 
+    def compact_after(self, table: str, versions: int, order: Sequence[str] = ()) -> bool:
+        """Compact once so many versions have been committed since the base; bounds what readers take from the log."""
+        base = self._base(table)
+        due = self.version() - (base[1] if base else 0) >= versions
+        if due:
+            self.compact(table, order)
+        return due
+
 
 def table_digest(df: DataFrame) -> DataFrame:
     """Row count and an order-free hash of whole rows."""
@@ -239,6 +275,38 @@ def export_snapshot(
     return spark.createDataFrame(report, "table_name string, row_count bigint")
 
 
+def export_state(store: Store, dest: str, orders: Mapping[str, Sequence[str]], as_of: int | None = None) -> DataFrame:
+    """Copy tables as of one version below ``dest`` while others commit; returns the manifest.
+
+    ``orders`` names the tables with their order columns. Each copy is read back and compared with its source, into a folder
+    of its own; the manifest, one file written last, publishes all of them at once. An older snapshot stays
+    readable before, meanwhile and after, and a crash leaves it the newest one.
+    """
+    spark, version = store.spark, store.version() if as_of is None else as_of
+    name = f"{version}-{uuid.uuid4().hex}"
+    lines = []
+    for table, order in orders.items():
+        path = f"{dest.rstrip('/')}/data/{name}/{table}"
+        state = store.current(table, order, as_of=version)
+        state.write.parquet(path)
+        want, got = table_digest(state).head(), table_digest(spark.read.schema(state.schema).parquet(path)).head()
+        if want != got:
+            raise RuntimeError(f"snapshot of {table} differs from its source")
+        lines.append((table, path, version, want["n"]))
+    manifest = spark.createDataFrame(lines, _MANIFEST)
+    manifest.coalesce(1).write.parquet(f"{dest.rstrip('/')}/manifests/manifest={name}")
+    return manifest
+
+
+def exported(spark: SparkSession, dest: str, table: str, as_of: int | None = None) -> DataFrame:
+    """A table of the newest published snapshot, or of the newest up to a version."""
+    found = spark.read.schema(_MANIFEST).parquet(f"{dest.rstrip('/')}/manifests/*").filter(F.col("table_name") == table)
+    chosen = (found if as_of is None else found.filter(F.col("version") <= as_of)).orderBy(F.desc("version"), "path").head()
+    if chosen is None:
+        raise FileNotFoundError(f"no snapshot of {table} in {dest}")
+    return spark.read.schema(_SCHEMAS[table]).parquet(chosen["path"])
+
+
 def upgrade_legacy(df: DataFrame) -> DataFrame:
     """Add what older signal tables lack; the empty hash makes the next write of a row an update."""
     missing = [c for c in LEGACY_CORE if c not in df.columns]

@@ -14,13 +14,15 @@ from rillflow.schemas import DELIVERIES, columns
 
 _READY = columns(
     "sink_key string, event_id string, prior_attempts int, queued_at timestamp, sent_hash string, "
-    "headers map, body string",
+    "headers map, body string, status string, next_attempt_at timestamp, last_error string, delivered_at timestamp",
     headers=T.MapType(T.StringType(), T.StringType()),
 )
 _SENT = columns(
     "event_id string, sent_hash string, status int, retry_after_text string, failure string"
 )
 
+# Versions after which a pass folds the deliveries into a base, in which open and closed rows lie apart.
+FOLD_AFTER = 100
 # How often a pass is derived anew when other batches are committed meanwhile, and the seconds between.
 TRIES, PAUSE = 20, 0.5
 
@@ -36,9 +38,10 @@ class Delivery:
     def __init__(
         self, store: Store, sink: str, url: str, send: sinks.Send, token: str | None = None,
         limit: int = delivery.BATCH, max_attempts: int = delivery.MAX_ATTEMPTS,
+        fold_after: int = FOLD_AFTER,
     ) -> None:
         self.store, self.sink, self.url, self.send = store, sink, url, send
-        self.token, self.limit, self.max_attempts = token, limit, max_attempts
+        self.token, self.limit, self.max_attempts, self.fold_after = token, limit, max_attempts, fold_after
 
     @property
     def stream_id(self) -> str:
@@ -53,17 +56,22 @@ class Delivery:
         committed since the state they were compared with; else they are derived again, without sending.
         A committed pass is not sent again; one that failed before its commit is, and the idempotency keys
         let the receiver tell.
+
+        Of the deliveries a pass reads the open ones and what was committed since the last fold, never those that were
+        closed before; the rows as they are now are those it has read and the commits since.
         """
         store, sid = self.store, self.stream_id
         if store.is_committed(sid, pass_id):
             return delivery.pass_summary(store.read_batch("outcomes", _OUTCOMES, sid, pass_id))
         at = F.current_timestamp() if now is None else now
-        mine = store.current("deliveries").filter(F.col("sink_key") == self.sink)
+        self._since = store.version()
+        mine = store.current("deliveries", among=delivery.OPEN, as_of=self._since).filter(F.col("sink_key") == self.sink)
         rows = delivery.ready(mine, at, self.limit)
         asked = rows.select(F.col("event_id").alias("id"))
         requests = sinks.webhook_requests(store.current("signals", ["seq"], only=asked), self.sink, self.token)
         due = rows.select(
-            "sink_key", "event_id", F.col("attempts").alias("prior_attempts"), F.col("updated_at").alias("queued_at")
+            "sink_key", "event_id", F.col("attempts").alias("prior_attempts"), F.col("updated_at").alias("queued_at"),
+            "status", "next_attempt_at", "last_error", "delivered_at",
         ).join(requests, "event_id", "left")
         store.write("ready", sid, pass_id, due.select(*_READY.fieldNames()))
         due = store.read_batch("ready", _READY, sid, pass_id)
@@ -80,8 +88,18 @@ class Delivery:
                 break
             except Conflict:
                 time.sleep(PAUSE)
+        store.compact_after("deliveries", self.fold_after)
         return delivery.pass_summary(done)
 
+    def _now(self, due: DataFrame) -> DataFrame:
+        """The delivery rows of a pass as they are now: as read, or as the last commit since has left them."""
+        keys = ["sink_key", "event_id"]
+        rest = [c for c in outbox.COLUMNS if c not in keys]
+        read = due.withColumns({"attempts": F.col("prior_attempts"), "updated_at": F.col("queued_at"), "version": F.lit(self._since).cast("bigint")})
+        since = self.store.log("deliveries", DELIVERIES, self._since).join(due.select(*keys), keys, "left_semi")
+        both = read.select(*outbox.COLUMNS, "version").unionByName(since)
+        return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("r")).select(*keys, "r.*")
+
     def _outcomes(self, due: DataFrame, pass_id: int, at) -> None:
         """What the answers do to the delivery rows as they are now."""
         store, sid = self.store, self.stream_id
@@ -90,7 +108,7 @@ class Delivery:
             "sink_key", "event_id", F.coalesce("outcome", F.lit("missing")).alias("outcome"), "sent_hash",
             "prior_attempts", "queued_at", "retry_after", "error", at.alias("attempted_at"),
         )
-        touched = store.current("deliveries", only=due)
+        touched = self._now(due)
         chosen = due.select(F.col("event_id").alias("id"))
         versions = store.current("signals", ["seq"], names=["event_hash"], only=chosen)
         applied = delivery.apply_outcomes(touched, attempts, versions, self.max_attempts)
