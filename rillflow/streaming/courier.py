@@ -2,8 +2,8 @@
 
 Rows of the queue come in at least once; a row whose ``seq`` is not above the one a delivery stands at is ignored. A
 newer row resets the delivery and is sent at once; a failure that may be repeated sets a processing-time timer for the
-backoff or the receiver's Retry-After, and the timer sends again without any new input. State is spread by sink and event, so a
-hot sink is no hot task; requests are kept only while a delivery is open.
+backoff or the receiver's Retry-After, and the timer sends again without any new input. State is spread by sink and buckets of
+events, so a hot sink is no hot task; requests are kept only while a delivery is open.
 
 Times are those Spark recorded for the micro-batch, so a batch that is run again writes the same rows. It also
 sends again: the idempotency key lets the receiver tell.
@@ -16,9 +16,7 @@ import time
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -38,7 +36,8 @@ MOVES = (
     "sink_key string, event_id string, seq bigint, status string, attempts int, next_attempt_at timestamp, last_error string, delivered_at timestamp, "
     "updated_at timestamp, sent_hash string, outcome string, retry_after double, error string, attempted_at timestamp"
 )
-_OPEN = "seq bigint, event_hash string, headers string, body string, attempts int, timer_ms bigint"
+#: Groups of a sink's events, by hash, that share a ledger and a timer. A stream keeps the number it was started with.
+BUCKETS = 1024
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How long a closed delivery remembers which row of the queue it stands at.
 REMEMBERED_MS = 7 * 24 * 3600 * 1000
@@ -84,45 +83,84 @@ def wait_seconds(prior: int, retry_after: float | None, policy: Policy) -> float
 
 
 class _Machine(StatefulProcessor):
+    """The deliveries of one bucket of a sink: a ledger of where each stands, the requests of those that are sent again, one timer."""
+
     def __init__(self, targets: Mapping[str, Target], policy: Policy) -> None:
         self.targets, self.policy = dict(targets), policy
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", _OPEN)
-        self.closed = handle.getValueState("closed", "seq bigint", REMEMBERED_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for frame in rows:
-            place = frame["seq"].to_numpy().argmax()
-            if newest is None or frame["seq"].iloc[place] > newest["seq"]:
-                newest = frame.iloc[place]
-        stands = self.open.get() if self.open.exists() else self.closed.get() if self.closed.exists() else None
-        if newest is None or (stands is not None and stands[0] >= int(newest["seq"])):
-            return
-        if self.open.exists() and stands[5] is not None:
-            self.handle.deleteTimer(stands[5])
-        self.closed.clear()
-        body = None if pd.isna(newest["body"]) else newest["body"]
-        event_hash = None if pd.isna(newest["event_hash"]) else newest["event_hash"]
-        headers = json.dumps(dict(newest["headers"]) if newest["headers"] is not None else {})
-        yield from self._attempt(key, (int(newest["seq"]), event_hash, headers, body, 0, None), None if pd.isna(newest["at"]) else int(newest["at"].value // 10**6), timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.open.get() if self.open.exists() else None
-        if state is not None and state[5] is not None and state[5] <= expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._attempt(key, tuple(state), None, timerValues)
-
-    def _attempt(self, key, state: tuple, queued_at, timerValues) -> Iterator[pd.DataFrame]:
-        seq, event_hash, headers, body, prior, _ = state
-        sink, event = key
-        target = self.targets.get(sink)
+        self.ledger = handle.getValueState("ledger", "held string")
+        self.requests = handle.getValueState("requests", "held string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = {}
+        for row in rows:
+            if row["event_id"] not in newest or row["seq"] > newest[row["event_id"]]["seq"]:
+                newest[row["event_id"]] = row
+        ledger, now = self._opened(), timerValues.getCurrentProcessingTimeInMs()
+        for event, row in newest.items():
+            stands = ledger["open"].get(event) or ledger["closed"].get(event)
+            if stands is not None and stands[0] >= row["seq"]:
+                continue
+            headers = json.dumps(dict(row["headers"]) if row["headers"] is not None else {})
+            yield self._attempt(ledger, key[0], event, row["seq"], (row["event_hash"], headers, row["body"], 0), row["at_ms"], now)
+        self._keep(ledger, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ledger, now = self._opened(), timerValues.getCurrentProcessingTimeInMs()
+        ledger["timer"] = None
+        for event, (seq, due) in list(ledger["open"].items()):
+            if due is not None and due <= now:
+                yield self._attempt(ledger, key[0], event, seq, self._waiting()[event], None, now)
+        ledger["closed"] = {event: stands for event, stands in ledger["closed"].items() if stands[1] > now}
+        self._keep(ledger, now)
+
+    def _opened(self) -> dict:
+        """``open``: seq and when to send again; ``closed``: seq and till when it is remembered; ``timer``: the one that is set."""
+        held, self.waiting, self.changed = self.ledger.get(), None, False
+        return json.loads(held[0]) if held is not None else {"open": {}, "closed": {}, "timer": None}
+
+    def _waiting(self) -> dict:
+        """Requests that are sent again, by event; read once for a bucket, and only if one of them is."""
+        if self.waiting is None:
+            held = self.requests.get()
+            self.waiting = json.loads(held[0]) if held is not None else {}
+        return self.waiting
+
+    def _forget(self, event: str) -> None:
+        self._waiting().pop(event, None)
+        self.changed = True
+
+    def _keep(self, ledger: dict, now: int) -> None:
+        times = [at for _, at in (*ledger["open"].values(), *ledger["closed"].values()) if at is not None]
+        first = min(times, default=None)
+        if first != ledger["timer"]:
+            if ledger["timer"] is not None:
+                self.handle.deleteTimer(ledger["timer"])
+            # One set for the present goes with the timer that has just fired.
+            ledger["timer"] = None if first is None else max(first, now + 1)
+            if first is not None:
+                self.handle.registerTimer(ledger["timer"])
+        if self.changed and self.waiting:
+            self.requests.update((json.dumps(self.waiting),))
+        elif self.changed:
+            self.requests.clear()
+        if ledger["open"] or ledger["closed"]:
+            self.ledger.update((json.dumps(ledger),))
+        else:
+            self.ledger.clear()
+
+    def _attempt(self, ledger: dict, sink: str, event: str, seq: int, request: tuple, queued_at: int | None, now: int) -> Row:
+        event_hash, headers, body, prior = request
+        was_open = ledger["open"].pop(event, None) is not None
+        ledger["closed"].pop(event, None)
+        key, target = (sink, event), self.targets.get(sink)
         if target is None:  # no receiver yet: the row waits for its next queueing
-            self.open.update((seq, event_hash, headers, body, prior, None))
-            yield self._move(key, seq, "pending", prior, None, None, None, queued_at, None, None, None)
-            return
-        now = timerValues.getCurrentProcessingTimeInMs()
+            if was_open:
+                self._forget(event)
+            ledger["open"][event] = (seq, None)
+            return self._move(key, seq, "pending", prior, None, None, None, queued_at, None, None, None)
         if body is None:
             answer = Answer("missing", None, None)
         else:
@@ -135,33 +173,35 @@ class _Machine(StatefulProcessor):
         error = delivery.GONE if answer.outcome == "missing" else answer.error
         if answer.outcome == "retryable" and tries < self.policy.max_attempts:
             due = now + round(wait_seconds(prior, answer.retry_after, self.policy) * 1000)
-            timer = max(due, now + 1)  # one set for the present goes with the timer that has just fired
-            self.open.update((seq, event_hash, headers, body, tries, timer))
-            self.handle.registerTimer(timer)
-            yield self._move(key, seq, "failed", tries, due, error, None, now, event_hash, answer, now)
-            return
-        self.open.clear()
-        self.closed.update((seq,))
+            ledger["open"][event] = (seq, due)
+            self._waiting()[event] = (event_hash, headers, body, tries)
+            self.changed = True
+            return self._move(key, seq, "failed", tries, due, error, None, now, event_hash, answer, now)
+        if was_open:
+            self._forget(event)
+        ledger["closed"][event] = (seq, now + REMEMBERED_MS)
         good = answer.outcome == "success"
-        yield self._move(key, seq, "delivered" if good else "dead", tries, None, error, now if good else None, now, event_hash, answer, now)
+        return self._move(key, seq, "delivered" if good else "dead", tries, None, error, now if good else None, now, event_hash, answer, now)
 
     @staticmethod
-    def _move(key, seq, status, attempts, due, error, delivered_at, updated_at, sent_hash, answer, at) -> pd.DataFrame:
+    def _move(key, seq, status, attempts, due, error, delivered_at, updated_at, sent_hash, answer, at) -> Row:
         outcome, retry_after, failure = answer or (None, None, None)
-        return pd.DataFrame({
-            "sink_key": [key[0]], "event_id": [key[1]], "seq": [seq], "status": [status], "attempts": np.array([attempts], np.int32), "next_attempt_at": _time(due),
-            "last_error": [error], "delivered_at": _time(delivered_at), "updated_at": _time(updated_at), "sent_hash": [sent_hash], "outcome": [outcome],
-            "retry_after": np.array([retry_after], np.float64), "error": [failure], "attempted_at": _time(at),
-        })
-
-
-def _time(ms: int | None) -> np.ndarray:
-    return np.array([np.datetime64("NaT") if ms is None else np.datetime64(ms, "ms")], "datetime64[ns]")
+        return Row(
+            sink_key=key[0], event_id=key[1], seq=seq, status=status, attempts=attempts, next_attempt_at=due, last_error=error, delivered_at=delivered_at,
+            updated_at=updated_at, sent_hash=sent_hash, outcome=outcome, retry_after=retry_after, error=failure, attempted_at=at,
+        )
 
 
 def moves(queue: DataFrame, targets: Mapping[str, Target], policy: Policy = Policy()) -> DataFrame:
-    """A streaming queue (``QUEUE``) as the stream of what becomes of its deliveries (``MOVES``)."""
-    return queue.groupBy(*KEYS).transformWithStateInPandas(_Machine(targets, policy), MOVES, "Update", "ProcessingTime")
+    """A streaming queue (``QUEUE``) as the stream of what becomes of its deliveries (``MOVES``).
+
+    Deliveries are dealt to ``BUCKETS`` per sink: what a state store asks of each key is paid once for the rows of a bucket.
+    Times are milliseconds in there.
+    """
+    asked = queue.withColumns({"bucket": F.pmod(F.xxhash64("event_id"), F.lit(BUCKETS)), "at_ms": F.unix_millis("at")}).drop("at")
+    made = asked.groupBy("sink_key", "bucket").transformWithState(_Machine(targets, policy), MOVES.replace("timestamp", "bigint"), "Update", "ProcessingTime")
+    times = [f.name for f in StructType.fromDDL(MOVES) if f.dataType.typeName() == "timestamp"]
+    return made.withColumns({c: F.timestamp_millis(c) for c in times})
 
 
 def publish(store: Store, folder: str, token: str | None = None, prefix: str = "rillflow") -> list[int]:
@@ -206,6 +246,8 @@ class Courier:
         """Runs until it is stopped; timers fire with each trigger, with or without new requests."""
         spark = self.store.spark
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+        # A batch stores what it changed, not the whole state again.
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
         checkpoint = checkpoint or f"{shared_dir(spark)}/{self.stream_id}"
         writer = moves(queue, self.targets, self.policy).writeStream.outputMode("update").foreachBatch(self.record)
         return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
@@ -222,19 +264,31 @@ class Courier:
         return behind.isEmpty()
 
     def run_until_settled(self, folder: str, checkpoint: str | None = None, every: str = "1 second", seconds: float = 600) -> bool:
-        """Deliver what is published in ``folder`` with all its retries, then stop; false if that takes longer than ``seconds``."""
-        query, end = self.start(stream_queue(self.store, folder), checkpoint, every), time.monotonic() + seconds
+        """Deliver what is published in ``folder`` with all its retries, then stop; false if nothing moves for ``seconds``."""
+        query, seen, end = self.start(stream_queue(self.store, folder), checkpoint, every), None, time.monotonic() + seconds
         try:
             while time.monotonic() < end:
+                last = query.lastProgress
+                if last is not None and last["numInputRows"] and last["batchId"] != seen:
+                    seen, end = last["batchId"], time.monotonic() + seconds
                 query.awaitTermination(1)
                 if not query.isActive:
                     raise RuntimeError(f"the delivery stream stopped: {query.exception()}")
+                # While requests still come in there is no need to compare the tables, which the batches would wait for.
+                if not self._idle(query):
+                    continue
                 if self.settled(self.store.spark.read.schema(QUEUE).parquet(f"{folder}/*")):
                     return True
             return False
         finally:
             query.stop()
 
+    @staticmethod
+    def _idle(query: StreamingQuery) -> bool:
+        """Whether the last batch that ended found no new request; timers may still be set."""
+        last = query.lastProgress
+        return last is not None and last["numInputRows"] == 0
+
     def record(self, batch: DataFrame, batch_id: int) -> None:
         """The last row of each delivery, and every attempt, as one committed batch; one without rows leaves no trace."""
         if self.store.is_committed(self.stream_id, batch_id):
