@@ -124,7 +124,7 @@ def digest(spark, sf):
     """Two orders of the same rows have one digest, a changed row has another."""
     d = v.doc_signals(spark, sf)
     a = st.table_digest(d)
-    b = st.table_digest(d.repartition(7, "kind"))
+    b = st.table_digest(d.repartition("id"))
     c = st.table_digest(d.withColumn("title", F.when(F.col("seq") == 0, "x").otherwise(F.col("title"))))
     key = F.concat_ws("/", "n", "x", "s")
     return a.select(
