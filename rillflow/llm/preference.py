@@ -1,16 +1,16 @@
 """Quality of a text by pairwise preferences: the Bradley-Terry model, the chance that one text is preferred to another is the
 logistic function of the difference of their scores, and a score is a weighted sum of features of the text.
 
-Features are shares of kinds of characters, word statistics and hashed runs of three bytes. The pairs are drawn from a
-bounded, hash-chosen sample of labelled documents (``FIT_DOCS`` per label), whose features are the only rows that reach the
-driver; logistic loss on the differences of standardised features gives the weights. A document is accepted above the
-quantile of the scores that leaves out as many documents as the labels call bad. Every text is scored in place by
-its own features, in one pass without a shuffle.
+Features are shares of kinds of characters, word statistics and hashed runs of three bytes, written once for every labelled
+document. The loss is over all pairs of a good and a bad document: how many of either kind have which score, on a fine grid,
+gives each document's pull, so a step is two passes over the features that bring back a few numbers per task. A document is
+accepted above the quantile of the scores of all labelled documents that leaves out as many as the labels call bad. Every text
+is scored in place by its own features, in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import ids_back, ids_of, narrowed, saved, slices, texts_of
 from rillflow.llm.quality import measured
 
-#: Documents of a label to learn from, pairs of each of them, hashed features, rounds of descent, weight of the penalty.
-FIT_DOCS, PAIRS, HASHED, ROUNDS, PENALTY = 4000, 8, 512, 200, 1e-3
+#: Hashed features, steps of descent at most, those remembered, weight of the penalty, slope to stop at.
+HASHED, ROUNDS, MEMORY, PENALTY, LEVEL = 512, 40, 10, 1e-3, 1e-5
+#: Scores between which the loss is linear.
+GRID = np.linspace(-64, 64, 8193)
 #: The score at the threshold.
 ACCEPTED = 0.3
 KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".", b"!", b"?", b",;:", b"|", b"#*$%&<>", b"()[]{}\"'", b"\n", b" \t", bytes(range(128, 256)))
 _KIND = np.stack([np.isin(np.arange(256), np.frombuffer(k, np.uint8)) for k in KINDS]).astype(np.float64)
 SHAPES = len(KINDS) + 5
-U = np.uint32
+U, U64 = np.uint32, np.uint64
 
 
 def _histogram(document: np.ndarray, values: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -66,64 +68,191 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(raw + np.log(ACCEPTED / (1 - ACCEPTED)), -700, 700)))
 
 
-def fitted(rows: np.ndarray, labels: np.ndarray, bad_share: float, seed: int = 7) -> Model:
-    """Weights from pairs of a good and a bad row; the threshold leaves out ``bad_share`` of the labelled documents.
+#: Joins what a function of features and labels gives for each part of the labelled documents.
+Over = Callable[..., np.ndarray]
+
+
+def _places(s: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Bad and good documents at each score of the grid; between two scores a document counts in parts."""
+    at = np.clip((s - GRID[0]) / (GRID[1] - GRID[0]), 0, len(GRID) - 1.000001)
+    low = at.astype(np.int64)
+    out = [np.bincount(low[mine], 1 - (at - low)[mine], len(GRID)) + np.bincount(low[mine] + 1, (at - low)[mine], len(GRID)) for mine in (labels == 0, labels == 1)]
+    return np.stack(out)
+
+
+def _surprise(bad: np.ndarray, good: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss over all pairs, and the mean surprise of a bad and of a good document at each score of the grid."""
+    lose, win = np.flatnonzero(bad), np.flatnonzero(good)
+    b, g = bad[lose] / bad.sum(), good[win] / good.sum()
+    loss, of_bad, of_good = 0.0, np.zeros(len(GRID)), np.zeros(len(GRID))
+    for k in range(0, len(win), 256):
+        apart = np.clip(GRID[lose][:, None] - GRID[win[k : k + 256]], -700, 700)
+        chance = 1 / (1 + np.exp(-apart))
+        loss += float(b @ np.logaddexp(0, apart) @ g[k : k + 256])
+        of_bad[lose] += chance @ g[k : k + 256]
+        of_good[win[k : k + 256]] = b @ chance
+    return loss, of_bad, of_good
+
+
+def _descended(over: Over, width: int, mean: np.ndarray, spread: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
+    """Weights of the least loss, by the limited-memory BFGS method."""
+
+    def places(w: np.ndarray) -> np.ndarray:
+        return over(lambda rows, labels: _places((rows - mean) / spread @ w, labels).ravel()).reshape(2, -1)
+
+    def slope(w: np.ndarray, of_bad: np.ndarray, of_good: np.ndarray) -> np.ndarray:
+        def pull(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+            x = (rows - mean) / spread
+            s = x @ w
+            return x.T @ np.where(labels == 0, np.interp(s, GRID, of_bad) / n_bad, -np.interp(s, GRID, of_good) / n_good)
+
+        return over(pull) + PENALTY * w
+
+    def judged(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, of_bad, of_good = _surprise(*places(w))
+        return loss + PENALTY * float(w @ w) / 2, of_bad, of_good
+
+    w = np.zeros(width)
+    loss, *surprises = judged(w)
+    g, steps = slope(w, *surprises), []
+    for _ in range(ROUNDS):
+        if np.abs(g).max() < LEVEL:
+            break
+        way, used = -g, []
+        for step, turn in reversed(steps):
+            used.append(step @ way / (step @ turn))
+            way = way - used[-1] * turn
+        way = way * (steps[-1][0] @ steps[-1][1] / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, float(np.linalg.norm(g))))
+        for (step, turn), a in zip(steps, reversed(used)):
+            way = way + (a - turn @ way / (step @ turn)) * step
+        size = 1.0
+        while True:
+            tried, *surprises = judged(w + size * way)
+            if tried <= loss + 1e-4 * size * float(g @ way) or size < 1e-3:
+                break
+            size /= 2
+        if tried >= loss:
+            break
+        after = slope(w + size * way, *surprises)
+        if (after - g) @ way > 0:
+            steps = [*steps[1 - MEMORY :], (size * way, after - g)]
+        w, g, loss = w + size * way, after, tried
+    return w
+
+
+def _keys(s: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the scores."""
+    bits = (s + 0.0).view(np.uint64)
+    return np.where(bits >> U64(63) == 1, ~bits, bits | U64(1 << 63))
+
+
+def _threshold(over: Over, scores: Callable[[np.ndarray], np.ndarray], weight: np.ndarray, share: float) -> float:
+    """The middle between the least score up to which ``share`` of the weight of all documents lies, and the next one.
+
+    The score is found twelve bits at a time by counts of bad and good documents, so equal scores are no burden.
+    """
+    prefix, below = 0, 0.0
+    for shift, past in ((52, 64), (40, 52), (28, 40), (16, 28), (4, 16), (0, 4)):
+        width = 1 << past - shift
+
+        def counts(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+            keys = _keys(scores(rows))
+            mine = keys >> U64(past) == U64(prefix) if past < 64 else np.ones(len(keys), bool)
+            place = (keys[mine] >> U64(shift) & U64(width - 1)).astype(np.int64)
+            return np.bincount(labels[mine] * width + place, minlength=2 * width).astype(np.float64)
+
+        got = weight @ over(counts).reshape(2, width)
+        at = min(int(np.searchsorted(below + np.cumsum(got), share - 1e-9)), int(np.flatnonzero(got)[-1]))
+        prefix, below = prefix << past - shift | at, below + float(got[:at].sum())
+
+    def ends(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        s, keys = scores(rows), _keys(scores(rows))
+        k = U64(prefix)
+        # the greatest of -next, own score and the one before
+        return np.array([-s[keys > k].min(initial=np.inf), s[keys == k].max(initial=-np.inf), s[keys < k].max(initial=-np.inf)])
+
+    after, own, before = over(ends, np.maximum) * (-1, 1, 1)
+    other = after if np.isfinite(after) else before if np.isfinite(before) else own
+    return float(own + other) / 2
+
+
+def _model(over: Over, bad_share: float) -> Model:
+    width = SHAPES + HASHED
+
+    def moments(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        return np.concatenate([[(labels == 0).sum(), (labels == 1).sum()], rows.sum(0), (rows * rows).sum(0)])
+
+    n_bad, n_good, *sums = over(moments)
+    n = max(n_bad + n_good, 1)
+    mean = np.array(sums[:width]) / n
+    spread = np.sqrt(np.maximum(np.array(sums[width:]) / n - mean * mean, 0)) + 1e-3
+    if not n_bad or not n_good:
+        return Model(mean, np.zeros(width), 1.0 if n_bad else -1.0)
+    w = _descended(over, width, mean, spread, n_bad, n_good) / spread
+
+    def spans(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        s = (rows - mean) @ w
+        return np.array([s.sum(), s @ s])
+
+    total, square = over(spans) / n
+    w = w / (max(np.sqrt(max(square - total * total, 0)), 1e-9) / 3)
+    return Model(mean, w, _threshold(over, lambda rows: (rows - mean) @ w, np.array([bad_share / n_bad, (1 - bad_share) / n_good]), bad_share))
+
+
+def fitted(rows: np.ndarray, labels: np.ndarray, bad_share: float) -> Model:
+    """Weights from all pairs of a good and a bad row; the threshold leaves out ``bad_share`` of the labelled documents.
 
     Labels of one kind only give no pairs: all weights are 0, and all documents are accepted, or none if all are bad.
     """
-    mean, spread = (rows.mean(0), rows.std(0)) if len(rows) else (np.zeros(SHAPES + HASHED), np.zeros(SHAPES + HASHED))
-    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    if not len(good) or not len(bad):
-        return Model(mean, np.zeros(SHAPES + HASHED), 1.0 if len(bad) else -1.0)
-    x = (rows - mean) / (spread + 1e-3)
-    draw, most = np.random.default_rng(seed), max(len(good), len(bad))
-    winner, loser = (np.concatenate([draw.permutation(np.resize(of, most)) for _ in range(PAIRS)]) for of in (good, bad))
-    w, speed, power = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    for i in range(1, ROUNDS + 1):
-        s = x @ w
-        surprise = 1 / (1 + np.exp(np.clip(s[winner] - s[loser], -700, 700))) / len(winner)
-        pull = np.bincount(loser, surprise, len(x)) - np.bincount(winner, surprise, len(x))
-        slope = x.T @ pull + PENALTY * w
-        speed, power = 0.9 * speed + 0.1 * slope, 0.99 * power + 0.01 * slope * slope
-        w -= 0.05 * (1 - i / (ROUNDS + 1)) * (speed / (1 - 0.9**i)) / (np.sqrt(power / (1 - 0.99**i)) + 1e-8)
-    s = x @ w
-    order = np.argsort(s, kind="stable")
-    weight = np.where(labels == 1, (1 - bad_share) / len(good), bad_share / len(bad))[order]
-    cut = min(max(1, int(np.searchsorted(np.cumsum(weight), bad_share - 1e-9)) + 1), len(s) - 1)
-    scale = max(s.std(), 1e-9) / 3
-    return Model(mean, w / (spread + 1e-3) / scale, float(s[order[cut - 1]] + s[order[cut]]) / 2 / scale)
-
-
-def _sample(docs: DataFrame, labels: DataFrame, fit_docs: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features and labels of at most ``fit_docs`` documents of each label, and the share of bad ones among all labelled."""
+    return _model(lambda of, join=np.add: of(rows, labels), bad_share)
+
+
+def _known(docs: DataFrame, labels: DataFrame, fit_docs: int | None) -> tuple[DataFrame, float]:
+    """Features and labels of the labelled documents, written, and the share of bad ones among all labelled."""
     marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = saved(docs.select("doc_id").join(marks.distinct(), "doc_id").distinct())
     sizes = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return np.empty((0, SHAPES + HASHED)), np.empty(0, int), 0.0
-    place = F.xxhash64("doc_id", F.lit("fit"))
-    ids = [known.where(F.col("quality") == k).orderBy(place, "doc_id").limit(fit_docs) for k in sizes]
-    # of ids there are at most fit_docs a label; of rows too, should an id have many
-    parts = [docs.join(F.broadcast(few), "doc_id").orderBy(place, "doc_id", F.xxhash64("text")).limit(fit_docs).select("quality", "text") for few in ids]
+    if fit_docs is not None:
+        few = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").limit(fit_docs) for k in (0, 1)]
+        known = few[0].unionByName(few[1])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = features(texts_of(batch.column(1))).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["quality", "row"])
 
-    got = [r for part in parts for r in part.mapInArrow(read, "quality int, row binary").collect()]
-    rows = np.stack([np.frombuffer(r.row, np.float32) for r in got]).astype(np.float64)
-    return rows, np.array([r.quality for r in got]), sizes.get(0, 0) / sum(sizes.values())
+    rows = saved(docs.join(known, "doc_id").select("quality", "text").mapInArrow(read, "quality int, row binary"))
+    return rows, sizes.get(0, 0) / max(sum(sizes.values()), 1)
+
+
+def _over(known: DataFrame) -> Over:
+    """Parts are batches of the written features; of each task one array reaches the driver."""
+
+    def over(of: Callable[[np.ndarray, np.ndarray], np.ndarray], join: Callable = np.add) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, SHAPES + HASHED).astype(np.float64)
+                got = of(rows, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                total = got if total is None else join(total, got)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["total"])
+
+        got = [np.frombuffer(r.total, np.float64) for r in known.mapInArrow(part, "total binary").collect()]
+        return join.reduce(got) if got else of(np.empty((0, SHAPES + HASHED)), np.empty(0, np.int64))
+
+    return over
 
 
-def scored(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> DataFrame:
+def scored(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int | None = None) -> DataFrame:
     """``docs`` judged by a model fitted on ``train`` (rows of the same columns) and ``labels`` (doc_id, quality 0 or 1).
 
     Rows: doc_id, score from 0 to 1, predicted (1 from ``ACCEPTED`` on). A null or empty text has the features of the empty text; null ids are
     scored and never learned from; repeated rows score alike; labels that are null or neither 0 nor 1 are ignored, and documents
-    with both count as both. Without labels of both kinds every text gets one score. Empty tables give no rows.
+    with both count as both. All labelled documents are learned from, unless ``fit_docs`` bounds those of a label. Without labels of both kinds every text gets one score. Empty tables give no rows.
     """
-    model = fitted(*_sample(narrowed(train, id_col, text_col), labels, fit_docs))
+    known, bad_share = _known(narrowed(train, id_col, text_col), labels, fit_docs)
+    model = _model(_over(known), bad_share)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import cases
 
-from rillflow.llm.preference import ACCEPTED, HASHED, SHAPES, features, fitted, held_out, op13_quality_preference, scored
+from rillflow.llm.preference import ACCEPTED, GRID, HASHED, SHAPES, _known, _places, _surprise, _threshold, features, fitted, held_out, op13_quality_preference, scored
 
 SF = "/root/testdata/sf0.01"
 
@@ -54,6 +54,39 @@ def test_descent_lowers_the_loss_and_cuts_at_the_share():
     assert abs(np.where(labels == 1, 0.75 / 200, 0.25 / 100)[score < ACCEPTED].sum() - 0.25) < 0.01
 
 
+def test_the_loss_is_that_of_all_pairs():
+    draw = np.random.default_rng(5)
+    bad, good = draw.normal(-1, 2, 70), draw.normal(1, 2, 110)
+    loss, of_bad, of_good = _surprise(*_places(np.concatenate([bad, good]), np.repeat([0, 1], [70, 110])))
+    apart = bad[:, None] - good
+    assert abs(loss - np.logaddexp(0, apart).mean()) < 1e-4
+    chance = 1 / (1 + np.exp(-apart))
+    assert np.allclose(np.interp(bad, GRID, of_bad), chance.mean(1), atol=1e-2) and np.allclose(np.interp(good, GRID, of_good), chance.mean(0), atol=1e-2)
+
+
+def test_threshold_among_equal_scores():
+    for s, share in (([3.0, -2, -2, -2, 5, 0.5], 0.5), ([1.0] * 4, 0.3), ([-1.0, 2], 1.0), ([-7.25, -0.0, 0.0, 1e-300], 0.25)):
+        rows, labels = np.array(s)[:, None], np.arange(len(s)) % 2
+        got = _threshold(lambda of, join=np.add: of(rows, labels), lambda r: r[:, 0], np.full(2, 1 / len(s)), share)
+        ordered = np.unique(s)
+        own = np.sort(s)[min(max(1, round(share * len(s) + 0.499)), len(s)) - 1]
+        k = int(np.searchsorted(ordered, own))
+        other = ordered[k + 1] if k + 1 < len(ordered) else ordered[k - 1] if k else own
+        assert got == (own + other) / 2
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    """More labelled documents than any bound there was; the model is the one of all their rows."""
+    rows = [(i, f"{'good words of text' if i % 3 else 'BAD %% 99'} {i * 7919 % 9973} {'x' * (i % 13)}") for i in range(13000)]
+    docs, labels = cases.table(spark, rows), marks(spark, [(i, int(i % 3 > 0), 0, 0.0, "") for i, _ in rows])
+    known, share = _known(docs, labels, None)
+    assert known.count() == 13000 and abs(share - 1 / 3) < 1e-3
+    every = features([t.encode() for _, t in rows]).astype(np.float32).astype(np.float64)
+    want = fitted(every, np.array([int(i % 3 > 0) for i, _ in rows]), share).scores(every)
+    got = {r.doc_id: r.score for r in scored(docs, docs, labels).collect()}
+    assert np.allclose([got[i] for i, _ in rows], want, atol=1e-4)
+
+
 def test_features_do_not_depend_on_neighbours():
     texts = [(t or "").encode() for _, t in cases.edge_rows()]
     together, alone = features(texts), np.concatenate([features([t]) for t in texts])
