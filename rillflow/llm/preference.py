@@ -1,11 +1,12 @@
 """Quality of a text by pairwise preferences: the Bradley-Terry model, the chance that one text is preferred to another is the
 logistic function of the difference of their scores, and a score is a weighted sum of features of the text.
 
-Features are shares of kinds of characters, word statistics and hashed runs of three bytes, written once for every labelled
-document. The loss is over all pairs of a good and a bad document: how many of either kind have which score, on a fine grid,
-gives each document's pull, so a step is two passes over the features that bring back a few numbers per task. A document is
-accepted above the quantile of the scores of all labelled documents that leaves out as many as the labels call bad. Every text
-is scored in place by its own features, in one pass without a shuffle.
+Features are shares of kinds of characters, word statistics and hashed runs of three bytes. They are computed where the texts
+lie; only they, packed, meet the labels, and are written once for every labelled document. The loss is over all pairs of a good
+and a bad document: how many of either kind have which score, on a fine grid, gives each document's pull, so a step is two
+passes over the features that bring back a few numbers per task. A document is accepted above the quantile of the scores of all
+labelled documents that leaves out as many as the labels call bad. Every text is scored in place by its own features, in one
+pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,10 +220,17 @@ def _known(docs: DataFrame, labels: DataFrame, fit_docs: int | None) -> tuple[Da
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = features(texts_of(batch.column(1))).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["quality", "row"])
+            rows, pack = features(texts_of(batch.column(1))).astype(np.float32), zstandard.ZstdCompressor().compress
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(r.tobytes()) for r in rows], pa.binary())], ["doc_id", "row"])
 
-    rows = saved(docs.join(known, "doc_id").select("quality", "text").mapInArrow(read, "quality int, row binary"))
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unpack = zstandard.ZstdDecompressor().decompress
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unpack(r) for r in batch.column(1).to_pylist()], pa.binary())], ["quality", "row"])
+
+    # The labels are never broadcast: the same plan at any size.
+    read_rows = docs.where("doc_id IS NOT NULL").mapInArrow(read, "doc_id long, row binary")
+    rows = saved(read_rows.join(known.hint("merge"), "doc_id").select("quality", "row").mapInArrow(opened, "quality int, row binary"))
     return rows, sizes.get(0, 0) / max(sum(sizes.values()), 1)
 
 

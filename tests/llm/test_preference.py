@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import cases
 
+from rillflow.llm import preference
 from rillflow.llm.preference import ACCEPTED, GRID, HASHED, SHAPES, _known, _places, _surprise, _threshold, features, fitted, held_out, op13_quality_preference, scored
 
 SF = "/root/testdata/sf0.01"
@@ -87,6 +88,17 @@ def test_every_labelled_document_is_learned_from(spark):
     assert np.allclose([got[i] for i, _ in rows], want, atol=1e-4)
 
 
+def test_no_text_is_shuffled(spark, monkeypatch):
+    """What meets the labels are features: no exchange of the written plan has the texts, and labels are not broadcast."""
+    plans, write = [], preference.saved
+    monkeypatch.setattr(preference, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    docs = cases.table(spark, [(i, f"{'good words' if i % 2 else 'BAD %%'} {i}") for i in range(40)])
+    rows, _ = _known(docs.select("doc_id", "text"), marks(spark, [(i, i % 2, 0, 0.0, "") for i in range(0, 40, 3)]), None)
+    assert rows.count() == 14 and "SortMergeJoin" in plans[-1] and "BroadcastHashJoin" not in plans[-1]
+    above = plans[-1][plans[-1].index("SortMergeJoin") :]
+    assert "Exchange" in above and "MapInArrow" in above[above.index("Exchange") :]
+
+
 def test_features_do_not_depend_on_neighbours():
     texts = [(t or "").encode() for _, t in cases.edge_rows()]
     together, alone = features(texts), np.concatenate([features([t]) for t in texts])
